@@ -61,8 +61,8 @@ SQL["op2_minhash"] = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOW.format("coalesce(text, '')")}, {WORD}) AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3])) END AS s FROM d),
 e AS (SELECT doc_id, unnest(s) AS g FROM s),
-both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM e AS x JOIN e AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-link AS (SELECT a, b FROM both JOIN s AS x ON x.doc_id = a JOIN s AS y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM e AS x JOIN e AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN s AS x ON x.doc_id = a JOIN s AS y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
 edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach AS r JOIN edge AS e ON r.b = e.a),
 low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
