@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from factweave.llm import neardup, quality
+from factweave.llm import bpe, mixing, neardup, quality, substrings
 from factweave.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,47 @@ low AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
 FROM s LEFT JOIN low ON doc_id = a
 """
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+SQL["op7_mix"] = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT AS size,
+    ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+r AS (SELECT *, 3 * n::DOUBLE / w AS ratio FROM s),
+c AS (SELECT x.source, x.n, x.w, (sum(y.n) - coalesce(sum(3 * y.n) FILTER (WHERE y.ratio < x.ratio), 0))::BIGINT AS rest,
+    (sum(y.w) - coalesce(sum(y.w) FILTER (WHERE y.ratio < x.ratio), 0))::BIGINT AS share FROM r AS x, r AS y GROUP BY ALL),
+capped AS (SELECT source, n, w, 3 * n < rest / share * w AS is_full FROM c),
+left_over AS (SELECT (sum(n) - coalesce(sum(3 * n) FILTER (WHERE is_full), 0))::BIGINT AS rest, sum(w) FILTER (WHERE NOT is_full)::BIGINT AS share FROM capped),
+t AS (SELECT source, n AS source_size, CASE WHEN is_full THEN 3.0::DOUBLE * n ELSE rest / share * w END AS target FROM capped, left_over),
+p AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size) - size AS ahead,
+    floor(target + 0.5)::BIGINT AS budget FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS passes FROM p)
+SELECT doc_id, source, size, source_size, target, (passes * size + greatest(0, least(size, budget - passes * source_size - ahead)))::BIGINT AS taken FROM q
+"""
+
+
+@query
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_substrings"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 19] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(g, ' ')) ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM again, (SELECT unnest(range(0, 20)) AS k)),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+left_over AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
