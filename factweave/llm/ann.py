@@ -110,11 +110,11 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, lists: int = LISTS
     queries = rows.filter(F.col("vec_id") % every == 0)
     visited = queries.mapInArrow(visits, "list int, query_id long, q array<double>")
     # lists are few (at most ``lists``); long ones are cut in blocks, and so are the queries that visit a list
-    n_rows = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("across"))
-    n_queries = visited.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("down"))
-    shape = F.broadcast(spark.createDataFrame(n_rows.join(n_queries, "list").collect(), "list int, across int, down int"))
-    dealt = index.join(shape, "list").select("list", "vec_id", "code", F.pmod(F.xxhash64("vec_id"), "across").alias("c"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).cast("long").alias("r"))
-    asked = visited.join(shape, "list").select("list", "query_id", "q", F.pmod(F.xxhash64("query_id"), "down").alias("r"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).cast("long").alias("c"))
+    n_rows = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("across"))
+    n_queries = visited.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("down"))
+    shape = F.broadcast(spark.createDataFrame(n_rows.join(n_queries, "list").collect(), "list int, across long, down long"))
+    dealt = index.join(shape, "list").select("list", "vec_id", "code", F.pmod(F.xxhash64("vec_id"), "across").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"))
+    asked = visited.join(shape, "list").select("list", "query_id", "q", F.pmod(F.xxhash64("query_id"), "down").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("c"))
 
     def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "guess": []}

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factweave.llm import bpe, mixing, neardup, quality, substrings
+from factweave.llm import ann, bpe, chat, mixing, neardup, planes, quality, severity, substrings, warc
 from factweave.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,37 @@ FROM s LEFT JOIN low ON doc_id = a
 """
 
 
+@query
+def op3_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
+    return made.select("conv_id", "speaker", "part", "n_turns", "rendered", spans.alias("spans"))
+
+
+SQL["op5_perspectives"] = """
+WITH t AS (SELECT conv_id, coalesce(turn // 64, -1)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+r AS (SELECT t.conv_id, speaker, part, turn, role, text, role = speaker AS own,
+    CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
+    text || '<|end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, sum(length(head) + length(body)) OVER w AS upto FROM r WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, speaker, part, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY upto) AS rendered,
+    coalesce(string_agg((upto - length(body))::BIGINT || '-' || (upto - 1)::BIGINT, ',' ORDER BY upto) FILTER (WHERE own), '') AS spans
+FROM o GROUP BY conv_id, speaker, part
+"""
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -98,6 +130,12 @@ SELECT doc_id, source, size, source_size, target, (passes * size + greatest(0, l
 """
 
 
+@query
+def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return planes.round_trip(table(spark, sf_dir, "documents"), f.read(), public_tokenizers.PATTERN)
+
+
 @query
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
@@ -113,3 +151,16 @@ left_over AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n F
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN left_over USING (doc_id)
 """
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op10_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first < page_id THEN first END AS refers_to FROM f
+"""

@@ -1,6 +1,6 @@
 """Severity by cumulative-link ordinal regression on sparse text features.
 
-Features are counts of lower-cased words, hashed to BITS bits. One weight vector serves all ordered thresholds:
+Features are counts of lower-cased words between white space and ASCII punctuation, and of their PREFIX first bytes, hashed to BITS bits. One weight vector serves all ordered thresholds:
 P(grade <= k) = sigmoid(threshold_k - w.x). The model is fitted on a sample of at most ``sample`` labelled documents; weights
 are kept for the features whose presence differs significantly between grades. Every document is scored over its whole text.
 
@@ -17,24 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.wordhash import U, Words, slices
+from factweave.llm.wordhash import NO_LETTER, U, Words, mix, slices
 
-BITS, SAMPLE, FEATURES = 20, 8000, 4096
+BITS, SAMPLE, FEATURES, PREFIX = 20, 8000, 4096, 4
 
 
-def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(feature numbers, counts, bounds of documents, words of documents), features distinct inside a document."""
-    words = Words(column, lower=True)
-    key = (words.doc_of().astype(U) << U(BITS)) | (words.hashes() >> U(64 - BITS))
+def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature numbers, counts, bounds of documents), features distinct inside a document."""
+    words = Words(column, lower=True, space=NO_LETTER)
+    doc = words.doc_of().astype(U) << U(BITS)
+    key = np.concatenate((doc | (words.hashes() >> U(64 - BITS)), doc | (mix(words.hashes(PREFIX) + U(PREFIX)) >> U(64 - BITS))))
     pairs, n = np.unique(key, return_counts=True)
     doc = (pairs >> U(BITS)).astype(np.int64)
-    return (pairs & U((1 << BITS) - 1)).astype(np.int64), n, np.searchsorted(doc, np.arange(words.docs + 1)), words.counts
+    return (pairs & U((1 << BITS) - 1)).astype(np.int64), n, np.searchsorted(doc, np.arange(words.docs + 1))
 
 
 class Severity:
     """Weights of the chosen features, ascending thresholds."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, features: int = FEATURES, rounds: int = 300, ridge: float = 1e-3):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, features: int = FEATURES, rounds: int = 400, ridge: float = 1e-5):
         self.grades = int(grades.max()) + 1 if len(grades) else 1
         index = np.concatenate([f for f, _ in rows]) if rows else np.zeros(0, np.int64)
         count = np.concatenate([c for _, c in rows]) if rows else np.zeros(0, np.int64)
@@ -46,7 +47,7 @@ class Severity:
         share = (a + b) / (n1 + n0)
         z = (a / n1 - b / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
         chosen = np.argsort(-np.abs(z), kind="stable")[:features]
-        chosen = np.sort(chosen[(np.abs(z[chosen]) > 5) & (a[chosen] + b[chosen] >= 10)])
+        chosen = np.sort(chosen[(np.abs(z[chosen]) > 4) & (a[chosen] + b[chosen] >= 5)])
         self.slot = np.full(size, -1, np.int32)
         self.slot[chosen] = np.arange(len(chosen))
         here = self.slot[index] >= 0 if len(index) else np.zeros(0, bool)
@@ -84,20 +85,20 @@ class Severity:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -30, 30)))
 
 
-def grades_from_binary(rows: list[tuple[np.ndarray, np.ndarray]], flags: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Ordered grades for flagged documents: 0 not flagged, 1 and 2 below and above the median share of telling words.
+def grades_from_binary(rows: list[tuple[np.ndarray, np.ndarray]], flags: np.ndarray) -> np.ndarray:
+    """Ordered grades for flagged documents: 0 not flagged, 1 and 2 up to and above the median number of telling words.
 
-    Telling words are those in at least 10 flagged documents and 20 times as common there as elsewhere.
+    Telling words are those in at least 5 flagged documents and 20 times as common there as elsewhere.
     """
     size = 1 << BITS
     n1, n0 = max(1, int(flags.sum())), max(1, int((1 - flags).sum()))
     a, b = np.zeros(size), np.zeros(size)
     for (f, _), y in zip(rows, flags, strict=True):
         (a if y else b)[f] += 1
-    telling = (a >= 10) & ((a + 0.5) / n1 > 20 * (b + 0.5) / n0)
-    density = np.array([c[telling[f]].sum() / max(1, n) for (f, c), n in zip(rows, words, strict=True)])
-    middle = np.median(density[flags == 1]) if flags.any() else 0.0
-    return np.where(flags == 0, 0, np.where(density > middle, 2, 1)).astype(np.int64)
+    telling = (a >= 5) & ((a + 0.5) / n1 > 20 * (b + 0.5) / n0)
+    found = np.array([c[telling[f]].sum() for f, c in rows])
+    middle = np.median(found[flags == 1]) if flags.any() else 0.0
+    return np.where(flags == 0, 0, np.where(found > middle, 2, 1)).astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = SAMPLE) -> Severity:
@@ -108,18 +109,18 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                f, c, bounds, n = _features(batch.column(1))
+                f, c, bounds = _features(batch.column(1))
                 cuts = pa.array(bounds.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(f, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(c, pa.int32()))],
-                    names=["doc_id", "grade", "n", "f", "c"],
+                    [batch.column(0).cast(pa.int64()), batch.column(2), pa.ListArray.from_arrays(cuts, pa.array(f, pa.int32())), pa.ListArray.from_arrays(cuts, pa.array(c, pa.int32()))],
+                    names=["doc_id", "grade", "f", "c"],
                 )
 
-    got = texts.mapInArrow(run, "doc_id long, grade int, n long, f array<int>, c array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    got = texts.mapInArrow(run, "doc_id long, grade int, f array<int>, c array<int>").toArrow().combine_chunks().sort_by("doc_id")
     rows = [(np.asarray(f.values), np.asarray(c.values)) for f, c in zip(got["f"], got["c"], strict=True)]
     grades = got["grade"].to_numpy()
     if len(grades) and grades.max() == 1:
-        grades = grades_from_binary(rows, grades, got["n"].to_numpy())
+        grades = grades_from_binary(rows, grades)
     return Severity(rows, grades)
 
 
@@ -130,7 +131,7 @@ def score(docs: DataFrame, model: Severity) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                f, c, bounds, _ = _features(batch.column(1))
+                f, c, bounds = _features(batch.column(1))
                 p = shared.value.exceed(f, c, bounds)
                 grade = (p > 0.5).sum(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(grade, pa.int32()), pa.array(grade > 0)], names=["doc_id", "expected_severity", "grade", "toxic"])

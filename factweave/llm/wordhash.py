@@ -18,6 +18,8 @@ SLICE_BYTES = 2 << 20
 TILE_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation.
+NO_LETTER = SPACE | np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -65,11 +67,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 class Words:
     """The words of some documents: byte spans, hashes and the first word of each document."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, space: np.ndarray = SPACE):
         self.data, self.offs = text_buffer(column)
         self.docs = len(self.offs) - 1
         n = len(self.data)
-        self.space = SPACE[self.data]
+        self.space = space[self.data]
         begin, end = np.ones(n, bool), np.ones(n, bool)
         begin[1:], end[:-1] = self.space[:-1], self.space[1:]
         edges = self.offs[(self.offs > 0) & (self.offs < n)]
@@ -80,19 +82,21 @@ class Words:
         self.counts = np.diff(self.first)
         self.lower = lower
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, longest: int | None = None) -> np.ndarray:
+        """Of the words, or of their first ``longest`` bytes."""
+        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
         out = np.empty(len(self.starts), U)
         at = 0
         while at < len(out):
             lo = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, lo + TILE_BYTES, side="right")))
-            hi = self.ends[to - 1]
+            to = max(at + 1, int(np.searchsorted(ends, lo + TILE_BYTES, side="right")))
+            hi = ends[to - 1]
             part = self.data[lo:hi]
             sums = (LOWER[part] if self.lower else part).astype(U)
             sums += U(1)
             sums *= _power("up", BASE, hi - lo)[: hi - lo]
             np.cumsum(sums, out=sums)
-            s, e = self.starts[at:to] - lo, self.ends[at:to] - lo
+            s, e = self.starts[at:to] - lo, ends[at:to] - lo
             before = np.where(s > 0, sums[s - 1], U(0))
             raw = (sums[e - 1] - before) * _power("down", BASE_INV, hi - lo)[s]
             out[at:to] = mix(raw + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
