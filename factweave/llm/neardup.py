@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factweave.llm.components import components
-from factweave.llm.store import keep
+from factweave.llm.store import keep, redealt
 from factweave.llm.wordhash import U, Words, mix, rolling, slices
 
 K, R, B, Z = 128, 4, 4, 4.5
@@ -170,33 +170,71 @@ def estimate(x, y):
 
 
 def _cells(least: float, threshold: float):
-    """Pairs of one block that lie in different groups and may be similar, each only in the first band that both share."""
+    """Of one block, the documents that may be similar to one of another group: (bucket, r, c, id, ids of the other ones).
+
+    A pair is named by one side only, and only in the first band that both share.
+    """
     lanes = U(int("1" * LANES, 16))
+    percent = round(100 * threshold)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        (la, lg, ls, lk), (ra, rg, rs, rk) = (
-            (x["id"].to_numpy(), x["grp"].to_numpy(), np.stack(x["signature"].to_numpy()).astype(np.int64).view(U), np.stack(x["bands"].to_numpy()).astype(np.int64)) for x in (left, right)
-        )
-        ln, rn, outer = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy(), right["outer"].to_numpy()
-        found_a, found_b, mine = [], [], int(key[0])
-        for i in range(len(la)):
-            # two outsiders meet twice; the smaller id keeps the pair
-            j = np.flatnonzero((rg != lg[i]) & (~outer | (ra > la[i])) & (100 * np.minimum(rn, ln[i]) >= round(100 * threshold) * np.maximum(rn, ln[i])))
-            if len(j):
+        named: dict[int, list[int]] = {}
+        if len(left) and len(right):
+            (la, lg, ln, ls, lk), (ra, rg, rn, rs, rk) = (
+                (x["id"].to_numpy(), x["grp"].to_numpy(), x["n_shingles"].to_numpy(), np.stack(x["signature"].to_numpy()).astype(np.int64).view(U), np.stack(x["bands"].to_numpy()).astype(np.int64))
+                for x in (left, right)
+            )
+            outer, mine = right["outer"].to_numpy(), int(key[0])
+            for i in range(len(la)):
+                # two outsiders meet twice; the smaller id keeps the pair
+                j = np.flatnonzero((rg != lg[i]) & (~outer | (ra > la[i])) & (100 * np.minimum(rn, ln[i]) >= percent * np.maximum(rn, ln[i])))
                 v = rs[j] ^ ls[i]
                 v |= v >> U(2)
                 v |= v >> U(1)
                 apart = np.bitwise_count(v & lanes).sum(1)
                 j = j[((1 - apart / K) - 2.0**-B) / (1 - 2.0**-B) >= least]
-            if len(j):
-                common = rk[j] == lk[i]
-                j = j[lk[i][common.argmax(1)] == mine]
-                found_a.append(np.full(len(j), la[i]))
-                found_b.append(ra[j])
-        return pd.DataFrame({"a": np.concatenate(found_a) if found_a else np.zeros(0, np.int64), "b": np.concatenate(found_b) if found_b else np.zeros(0, np.int64)})
+                if len(j):
+                    j = j[lk[i][(rk[j] == lk[i]).argmax(1)] == mine]
+                if len(j):
+                    named[int(la[i])] = ra[j].tolist()
+                    for x in named[int(la[i])]:
+                        named.setdefault(x, [])
+        cell = {c: np.full(len(named), k, np.int64) for c, k in zip(("bucket", "r", "c"), key, strict=True)}
+        return pd.DataFrame(cell | {"id": np.array(list(named), np.int64), "others": pd.Series(list(named.values()), dtype=object)})
+
+    return run
+
+
+def _settle(threshold: float):
+    """Of one block, the links between its named documents by their full sets, as few as join the same ones."""
+    percent = round(100 * threshold)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sets = {i: np.frombuffer(s, U) for i, s in zip(rows["id"], rows["shingles"], strict=True)}
+        root = {i: i for i in sets}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for a, others in zip(rows["id"], rows["others"], strict=True):
+            others = [b for b in others if find(b) != find(a)]
+            own = sets[a]
+            for at in range(0, len(others), 256):
+                some = others[at : at + 256]
+                every = np.concatenate([sets[b] for b in some])
+                sizes = np.array([len(sets[b]) for b in some])
+                place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                both = np.add.reduceat((own[place] == every).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+                for b in np.array(some)[100 * both >= percent * (sizes + len(own) - both)].tolist():
+                    x, y = find(a), find(b)
+                    if x != y:
+                        root[x] = y
+                        links.append((a, b))
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return run
 
@@ -216,15 +254,15 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     part = seen.filter("n_shingles > 0 and doc_id is not null")
     # representatives: the smallest document of each set
     first = part.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    copied = first.filter("copies > 1").drop("copies")
+    copied = first.filter("copies > 1").select(redealt("set_hi"), redealt("set_lo"), "id")
     member = keep(part.select("doc_id", "set_hi", "set_lo").join(copied, ["set_hi", "set_lo"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("id")), "members")
     later = member.filter("doc_id <> id").select("doc_id").distinct()
     reps = part.join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands")
     reps = keep(reps.dropDuplicates(["id"]), "representatives")
     entries = reps.select("id", F.explode("bands").alias("bucket"))
-    crowded = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    crowded = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(redealt("bucket"))
     shared = keep(entries.join(crowded, "bucket"), "buckets")
-    pivots = shared.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("pivot"))
+    pivots = shared.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("pivot")).select(redealt("bucket"), "pivot")
     met = shared.join(pivots, "bucket")
     involved = shared.select("id").distinct()
     facts = keep(reps.join(involved, "id", "left_semi"), "facts")
@@ -254,14 +292,15 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     as_left = apart.filter("outer").select("*", F.lit(0).alias("role"), own_row.alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("c"))
     as_right = apart.select("*", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"), own_column.alias("c"))
     blocks = as_left.select("bucket", "id", "grp", "outer", "role", "r", "c").unionByName(as_right.select("bucket", "id", "grp", "outer", "role", "r", "c"))
-    pairs = blocks.join(facts, "id").select("bucket", "id", "grp", "outer", "role", "r", "c", "n_shingles", "signature", "bands").groupBy("bucket", "r", "c").applyInPandas(_cells(least, threshold), "a long, b long")
-    more = confirmed(pairs)
+    cells = blocks.join(facts, "id").select(*blocks.columns, "n_shingles", "signature", "bands").groupBy("bucket", "r", "c")
+    named = cells.applyInPandas(_cells(least, threshold), "bucket long, r long, c long, id long, others array<long>")
+    more = named.join(sets, "id").groupBy("bucket", "r", "c").applyInPandas(_settle(threshold), "a long, b long")
     final = components(links.unionByName(more))
 
-    named = member.select("doc_id", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).distinct()
+    placed = member.select("doc_id", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).distinct()
     return (
         seen.select("doc_id", "n_shingles")
-        .join(named, "doc_id", "left")
+        .join(placed, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component_id", "doc_id") == F.col("doc_id"))).alias("kept"))
     )
 

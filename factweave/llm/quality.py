@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.store import keep
+from factweave.llm.store import keep, redealt
 from factweave.llm.wordhash import SPACE, Words, mix, per_doc, rolling, slices
 
 SYMBOL = np.zeros(256, bool)
@@ -114,7 +114,7 @@ def judge(
     lines = profile.select("row_id", "host", F.explode(F.arrays_zip("line_hash", "line_words")).alias("line")).select("row_id", "host", "line.*")
     hosts = profile.groupBy("host").agg(F.count("*").alias("host_docs"))
     counted = lines.groupBy("line_hash").agg(F.count("*").alias("held_by"), F.first("host").alias("line_host")).filter(F.col("held_by") > min_docs)
-    frequent = counted.join(hosts, F.col("line_host").eqNullSafe(F.col("host"))).filter(F.col("held_by") > F.col("host_docs") * max_share).select("line_hash")
+    frequent = counted.join(hosts, F.col("line_host").eqNullSafe(F.col("host"))).filter(F.col("held_by") > F.col("host_docs") * max_share).select(redealt("line_hash"))
     removed = lines.join(frequent, "line_hash").groupBy("row_id").agg(F.sum("line_words").alias("removed_words"), F.collect_set("line_hash").alias("removed_lines"))
     base = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * max_repeat_share)
     left = F.col("n_words") - F.col("removed_words")

@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def redealt(key: str) -> Column:
+    """A long key under its own name as an expression of its own: a join then deals this aggregated side anew instead of
+    using the aggregate's exchange, both sides stand alone, and adaptive execution can split a hot key."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long")).alias(key)
+
+
 def local_path(uri: str) -> str | None:
     """The file-system path of a path without scheme or with file:, else None."""
     parts = urlparse(uri)
