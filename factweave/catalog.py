@@ -1,6 +1,480 @@
-"""Every query of the library by name, with the SQL it equals."""
+"""Every operator applied to the generated tables, by name, with the SQL that it equals.
+
+The tables hold no program facts; each query maps an operator to columns of the same shape. What the mapping stands for is in the
+query's docstring.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factweave.functions import intervals as iv
+from factweave.functions import keys
+from factweave.operators import flow, hierarchy, incremental, index, issues, references
+from factweave.plans import closure
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- references and declarations
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal > 0
+    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)""")
+def unreferenced_declarations(spark: SparkSession, d: str) -> DataFrame:
+    """Customers (declarations) without a large order (reference); one segment is exempt."""
+    refs = read(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    decls = read(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name", "c_mktsegment")
+    return references.unreferenced(decls, refs, "c_custkey", F.col("c_mktsegment") == "MACHINERY").select("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 5000)")
+def unresolved_references(spark: SparkSession, d: str) -> DataFrame:
+    refs = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("k"))
+    return references.unresolved(refs, read(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k")), "k").select("o_orderkey", F.col("k").alias("o_custkey"))
+
+
+@query("""SELECT n_name, count(*) AS n_refs, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def resolved_references(spark: SparkSession, d: str) -> DataFrame:
+    refs = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    found = references.resolve(refs, read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey")
+    return references.resolve(found, read(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey").groupBy("n_name").agg(F.count("*").alias("n_refs"), F.sum("o_totalprice").alias("total"))
+
+
+@query("""SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#11' OR p_size = 7)
+    AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%')""")
+def find_references(spark: SparkSession, d: str) -> DataFrame:
+    """References to a family of keys inside a scope of files."""
+    refs = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), "l_linenumber", F.col("l_partkey").alias("key"))
+    family = read(spark, d, "part").filter("p_brand = 'Brand#11' or p_size = 7").select(F.col("p_partkey").alias("key"))
+    scope = read(spark, d, "orders").filter("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("file"))
+    return references.find_references(refs, family, "key", scope).select(F.col("file").alias("l_orderkey"), "l_linenumber", F.col("key").alias("l_partkey"))
+
+
+@query("""SELECT DISTINCT x.l_suppkey AS src, y.p_size AS dst FROM lineitem x JOIN part y ON x.l_partkey = y.p_partkey WHERE x.l_suppkey <> y.p_size""")
+def dependency_edges(spark: SparkSession, d: str) -> DataFrame:
+    refs = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("key"))
+    defined = read(spark, d, "part").select(F.col("p_size").cast("long").alias("file"), F.col("p_partkey").alias("key"))
+    return references.dependencies(refs, defined, "key")
+
+
+_EDGE = "(SELECT DISTINCT l_suppkey AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_suppkey <> l_partkey % 50)"
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 50).alias("dst")).filter("src <> dst").distinct()
+
+
+@query(f"SELECT dst, list_sort(list(src)) AS dependents FROM {_EDGE} GROUP BY dst")
+def reverse_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return references.reverse_dependencies(_edges(spark, d))
+
+
+@query(f"""SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM {_EDGE}
+    UNION ALL SELECT dst, 0, 1 FROM {_EDGE}) GROUP BY node""")
+def edge_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return references.degrees(_edges(spark, d))
+
+
+# --- indexes
+
+
+@query("""SELECT lang, doc_id, source FROM (SELECT *, CASE WHEN source < 'src12' THEN 0 WHEN source < 'src5' THEN 1 ELSE 2 END AS tier FROM documents)
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY tier DESC, CASE WHEN tier = 0 THEN doc_id ELSE -doc_id END) = 1""")
+def symbol_winner(spark: SparkSession, d: str) -> DataFrame:
+    """One document of each language: tier from the source, the lowest tier keeps its first, others their last."""
+    tier = F.when(F.col("source") < "src12", 0).when(F.col("source") < "src5", 1).otherwise(2)
+    return index.symbol_winner(read(spark, d, "documents").select("lang", "doc_id", "source", tier.alias("tier")), "lang", "tier", "doc_id").select("lang", "doc_id", "source")
+
+
+@query("""SELECT p_brand, list_sort(list(DISTINCT p_type)) AS found, count(*) AS n FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1""")
+def collision_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return index.collisions(read(spark, d, "part"), "p_brand", "p_type")
+
+
+_TOKENS = "(SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) AS token FROM documents)"
+
+
+@query(f"SELECT token, count(*) AS n_docs FROM {_TOKENS} GROUP BY token")
+def posting_list(spark: SparkSession, d: str) -> DataFrame:
+    return index.posting_counts(index.posting_list(read(spark, d, "documents"), "doc_id", keys.identifier_tokens("text")))
+
+
+@query(f"""SELECT DISTINCT doc AS doc_id FROM {_TOKENS} WHERE token IN (SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')) FROM benchmark) AND length(token) >= 10""")
+def mention_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that mention a long word of any benchmark item."""
+    needles = read(spark, d, "benchmark").select(F.explode(keys.identifier_tokens("text")).alias("needle")).filter("length(needle) >= 10")
+    return references.mention_gate(read(spark, d, "documents"), "doc_id", keys.identifier_tokens("text"), needles, "needle")
+
+
+@query("SELECT c_nationkey, count(*) AS n_docs, list_sort(list(DISTINCT c_mktsegment)) AS names FROM customer GROUP BY c_nationkey")
+def defined_symbols(spark: SparkSession, d: str) -> DataFrame:
+    made = read(spark, d, "customer")
+    return index.defined_symbols(made, "c_nationkey", "c_mktsegment").join(made.groupBy("c_nationkey").agg(F.count("*").alias("n_docs")), "c_nationkey")
+
+
+@query("SELECT split_part(p_name, ' ', -1) AS short, list_sort(list(DISTINCT p_name)) AS names FROM part GROUP BY ALL")
+def short_name_index(spark: SparkSession, d: str) -> DataFrame:
+    return index.short_name_index(read(spark, d, "part"), F.substring_index("p_name", " ", -1), "p_name")
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def first_wins(spark: SparkSession, d: str) -> DataFrame:
+    """The type that a global variable has in the first file that sets it."""
+    return index.first_wins(read(spark, d, "events"), "user_id", "event_type", "event_id")
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O')
+    SELECT o_custkey, 'deleted' AS change FROM a WHERE o_custkey NOT IN (SELECT * FROM b) UNION ALL SELECT o_custkey, 'added' FROM b WHERE o_custkey NOT IN (SELECT * FROM a)""")
+def symbol_delta(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    return index.symbol_delta(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'O'"), "o_custkey")
+
+
+@query("""WITH n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey), s AS (SELECT l_suppkey, n, sum(n) OVER (ORDER BY l_suppkey) AS past FROM n)
+    SELECT l_suppkey, (past - n)::BIGINT AS first, past::BIGINT AS past FROM s""")
+def contiguous_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return index.contiguous_ranges(read(spark, d, "lineitem"), "l_suppkey", "l_orderkey")
+
+
+# --- closures
+
+
+_GRAPH = """(SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey % 3) % 997 AS dst FROM orders)"""
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey") % 3) % 997).alias("dst")).distinct()
+
+
+@query(f"""WITH RECURSIVE e AS {_GRAPH}, r AS (SELECT src, dst FROM e WHERE src IN (SELECT min(src) FROM e UNION ALL SELECT max(src) FROM e)
+    UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r""")
+def transitive_closure(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes reachable from two seeds on a cyclic graph."""
+    e = _graph(spark, d)
+    seeds = e.agg(F.explode(F.array(F.min("src"), F.max("src"))).alias("src"))
+    return closure.transitive(e, seeds).select("src", "dst")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_size AS src, p_size * 3 % 51 AS dst FROM part),
+    p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON p.dst = e.src)
+    SELECT a.src AS node, max(a.dst) AS cycle FROM p a JOIN p b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""")
+def cycle_detection(spark: SparkSession, d: str) -> DataFrame:
+    return closure.cycles(read(spark, d, "part").select(F.col("p_size").alias("src"), (F.col("p_size") * 3 % 51).alias("dst")))
+
+
+_TREE = """(SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
+    UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    def edge(name: str, a: str, x: str, b: str, y: str) -> DataFrame:
+        return read(spark, d, name).select(F.concat(F.lit(a), x).alias("child"), F.concat(F.lit(b), y).alias("parent"))
+
+    return edge("customer", "c", "c_custkey", "n", "c_nationkey").unionByName(edge("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge("nation", "n", "n_nationkey", "r", "n_regionkey"))
+
+
+@query(f"""WITH RECURSIVE e AS {_TREE}, r AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT r.child, e.parent, depth + 1 FROM r JOIN e ON r.ancestor = e.child)
+    SELECT child, ancestor, depth FROM r""")
+def ancestor_closure(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.ancestors(_tree(spark, d))
+
+
+@query(f"""WITH RECURSIVE e AS {_TREE}, r AS (SELECT child AS fqcn FROM e WHERE parent = 'r1' UNION SELECT e.child FROM r JOIN e ON e.parent = r.fqcn) SELECT fqcn FROM r""")
+def subtype_closure(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.subtypes(_tree(spark, d).withColumn("relation", F.lit("super")), spark.createDataFrame([("r1",)], "fqcn string"))
+
+
+@query("""WITH m AS (SELECT c_custkey, CASE WHEN c_acctbal > 8000 THEN 'own' END AS own, n_name, n_nationkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+    SELECT 'c' || c_custkey AS class, 'limit' AS name, CASE WHEN own IS NOT NULL THEN 'c' || c_custkey WHEN n_nationkey % 2 = 0 THEN 'n' || n_nationkey ELSE 'region' END AS owner,
+    coalesce(own, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'default' END) AS payload FROM m""")
+def member_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The first declaration of a member along customer, nation, region."""
+    c, n = read(spark, d, "customer"), read(spark, d, "nation")
+    name, me = F.lit("limit").alias("name"), F.concat(F.lit("c"), "c_custkey")
+    ranked = (
+        c.select(me.alias("class"), me.alias("ancestor"), F.lit(0).alias("rank"))
+        .unionByName(c.select(me.alias("class"), F.concat(F.lit("n"), "c_nationkey").alias("ancestor"), F.lit(1).alias("rank")))
+        .unionByName(c.select(me.alias("class"), F.lit("region").alias("ancestor"), F.lit(2).alias("rank")))
+    )
+    members = (
+        c.filter("c_acctbal > 8000").select(me.alias("owner"), name, F.lit("own").alias("payload"))
+        .unionByName(n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("owner"), name, F.col("n_name").alias("payload")))
+        .unionByName(spark.createDataFrame([("region", "limit", "default")], "owner string, name string, payload string"))
+    )
+    return hierarchy.chain_lookup(ranked, members, c.select(me.alias("class"), name))
+
+
+@query(f"""WITH RECURSIVE e AS {_GRAPH}, clean AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal < 0),
+    r AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal >= 0 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node AND r.node NOT IN (SELECT node FROM clean))
+    SELECT node FROM r WHERE node IN (SELECT c_custkey FROM customer WHERE c_acctbal > 8000)""")
+def taint_reachability(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of one segment are sources, rich ones sinks, indebted ones sanitizers."""
+    c = read(spark, d, "customer").withColumn("node", F.col("c_custkey"))
+    return flow.tainted(c.filter("c_mktsegment = 'BUILDING'"), _graph(spark, d), c.filter("c_acctbal > 8000"), c.filter("c_acctbal < 0")).select("node")
+
+
+# --- incremental
+
+
+_SNAP = """(SELECT o_orderkey AS path, o_orderstatus AS status, sha256(o_orderstatus || o_orderpriority || CASE WHEN o_totalprice > 300000 THEN 'x' ELSE '' END) AS b, sha256(o_orderstatus || o_orderpriority) AS a,
+    CASE WHEN o_totalprice > 400000 THEN o_orderstatus || 'y' ELSE o_orderstatus END AS sb, o_orderstatus AS sa, o_orderpriority <> '1-URGENT' AS in_a, o_orderpriority <> '5-LOW' AS in_b FROM orders)"""
+
+
+def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of the orders: each lacks one priority, and dear orders changed their content, very dear ones their surface."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("status"), "o_orderpriority", "o_totalprice")
+    text = F.concat("status", "o_orderpriority")
+    old = o.filter("o_orderpriority <> '1-URGENT'").select("path", "status", incremental.content_hash(text).alias("content_hash"), F.col("status").alias("surface_hash"))
+    new = o.filter("o_orderpriority <> '5-LOW'").select(
+        "path", "status", incremental.content_hash(F.concat(text, F.when(F.col("o_totalprice") > 300000, "x").otherwise(""))).alias("content_hash"),
+        F.when(F.col("o_totalprice") > 400000, F.concat("status", F.lit("y"))).otherwise(F.col("status")).alias("surface_hash"),
+    )
+    return old, new
+
+
+@query(f"""SELECT path, CASE WHEN NOT in_a THEN 'added' WHEN NOT in_b THEN 'removed' WHEN a = b THEN 'same' WHEN sa = sb THEN 'body' ELSE 'surface' END AS change FROM {_SNAP}""")
+def content_change(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots compared by content and surface hash."""
+    return incremental.compare(*_snapshots(spark, d))
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT path, CASE WHEN NOT in_a THEN 'added' WHEN NOT in_b THEN 'removed' WHEN a = b THEN 'same' WHEN sa = sb THEN 'body' ELSE 'surface' END AS change FROM {_SNAP}),
+    e AS (SELECT o_orderkey AS src, o_orderkey // 3 AS dst FROM orders),
+    r AS (SELECT path FROM c WHERE change IN ('surface', 'removed', 'added') UNION SELECT e.src FROM r JOIN e ON e.dst = r.path)
+    SELECT path FROM r WHERE path NOT IN (SELECT path FROM c WHERE change <> 'same')""")
+def evict_dependents(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _snapshots(spark, d)
+    return incremental.evict(incremental.compare(old, new), read(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 3).alias("dst")))
+
+
+@query(f"""SELECT count(*) FILTER (in_a AND in_b AND a = b) AS reused, count(*) FILTER (in_b AND NOT (in_a AND a = b)) AS to_do,
+    count(*) FILTER (in_a AND in_b AND a = b AND status = 'P') AS to_verify FROM {_SNAP}""")
+def warm_start(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _snapshots(spark, d)
+    reused, todo, verify = incremental.warm_start(old, new, new.filter("status = 'P'"))
+    n = lambda x, name: x.agg(F.count("*").alias(name))
+    return n(reused, "reused").crossJoin(n(todo, "to_do")).crossJoin(n(verify, "to_verify"))
+
+
+@query(f"SELECT path FROM {_SNAP} WHERE in_a AND NOT in_b AND status <> 'F'")
+def deleted_files(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _snapshots(spark, d)
+    return incremental.deleted_files(old, new, old.filter("status = 'F'"))
+
+
+@query(f"SELECT path, CASE WHEN in_b THEN b ELSE a END AS content_hash FROM {_SNAP}")
+def upsert_files(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _snapshots(spark, d)
+    return incremental.upsert(old, new)[0].select("path", "content_hash")
+
+
+# --- issues
+
+
+_ISSUES = """(SELECT event_id AS emit_ord, event_type AS kind, 'E' || (event_id % 7) AS code, CASE WHEN value > 100 THEN 'error' WHEN value > 50 THEN 'warning' ELSE 'info' END AS severity,
+    'f' || user_id AS file, (event_id % 40)::INT AS line, (floor(value) % 11)::INT::VARCHAR AS snippet FROM events)"""
+
+
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    severity = F.when(F.col("value") > 100, "error").when(F.col("value") > 50, "warning").otherwise("info")
+    return e.select(
+        F.col("event_id").alias("emit_ord"), F.col("event_type").alias("kind"), F.concat(F.lit("E"), F.col("event_id") % 7).alias("code"), severity.alias("severity"),
+        F.concat(F.lit("f"), "user_id").alias("file"), (F.col("event_id") % 40).cast("int").alias("line"), (F.floor("value") % 11).cast("int").cast("string").alias("snippet"),
+    )
+
+
+@query(f"SELECT severity, count(*) AS n FROM {_ISSUES} GROUP BY severity")
+def severity_counts(spark: SparkSession, d: str) -> DataFrame:
+    return issues.count_by_severity(_issues(spark, d))
+
+
+@query(f"""SELECT count(*) AS n_issues, count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning,
+    count(*) FILTER (severity = 'info') AS n_info, count(DISTINCT file) AS n_files FROM {_ISSUES}""")
+def issue_totals(spark: SparkSession, d: str) -> DataFrame:
+    return issues.totals(_issues(spark, d))
+
+
+@query(f"SELECT file, count(*) AS n_issues, count(*) FILTER (severity = 'error') AS n_errors FROM {_ISSUES} GROUP BY file")
+def per_file_counts(spark: SparkSession, d: str) -> DataFrame:
+    return issues.per_file(_issues(spark, d))
+
+
+@query(f"SELECT kind, file, line, emit_ord, severity FROM {_ISSUES} QUALIFY row_number() OVER (PARTITION BY kind, file, line ORDER BY emit_ord) = 1")
+def issue_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return issues.dedup(_issues(spark, d), ["kind", "file", "line"], "emit_ord").select("kind", "file", "line", "emit_ord", "severity")
+
+
+@query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1")
+def duplicate_declarations(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").select("doc_id", "lang", "source", F.sha2("text", 256).alias("key"))
+    return issues.duplicates(rows, ["key"], ["doc_id"]).drop("key")
+
+
+_BASE = f"(SELECT file, kind, snippet FROM {_ISSUES} WHERE severity <> 'warning')"
+
+
+@query(f"""WITH b AS (SELECT file, kind, snippet, count(*) AS n FROM {_BASE} GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY file, kind, snippet ORDER BY emit_ord) AS k FROM {_ISSUES})
+    SELECT emit_ord, i.file, i.kind, i.snippet FROM i LEFT JOIN b ON i.file = b.file AND i.kind = b.kind AND i.snippet = b.snippet WHERE k > coalesce(n, 0)""")
+def baseline_consume(spark: SparkSession, d: str) -> DataFrame:
+    found = _issues(spark, d)
+    return issues.baseline_new(found, issues.baseline_create(found.filter("severity <> 'warning'")), ["emit_ord"]).select("emit_ord", "file", "kind", "snippet")
+
+
+@query(f"""WITH b AS (SELECT file, kind, snippet, count(*) AS n FROM {_BASE} GROUP BY ALL), i AS (SELECT file, kind, snippet, count(*) AS m FROM {_ISSUES} WHERE severity <> 'info' GROUP BY ALL)
+    SELECT file, kind, snippet, least(n, m) AS n FROM b JOIN i USING (file, kind, snippet)""")
+def baseline_update(spark: SparkSession, d: str) -> DataFrame:
+    found = _issues(spark, d)
+    return issues.baseline_update(found.filter("severity <> 'info'"), issues.baseline_create(found.filter("severity <> 'warning'")))
+
+
+_DIRECTIVES = """(SELECT 'f' || (doc_id % 50) AS file, (doc_id % 40)::INT AS line, CASE doc_id % 3 WHEN 0 THEN 'line' WHEN 1 THEN 'next' ELSE 'file' END AS scope,
+    CASE WHEN quality = 1 THEN ['CLICK', 'e' || (doc_id % 7)] END AS kinds FROM labels WHERE toxic = 1)"""
+
+
+def _directives(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "labels").filter("toxic = 1")
+    scope = F.when(F.col("doc_id") % 3 == 0, "line").when(F.col("doc_id") % 3 == 1, "next").otherwise("file")
+    kinds = F.when(F.col("quality") == 1, F.array(F.lit("CLICK"), F.concat(F.lit("e"), F.col("doc_id") % 7)))
+    return rows.select(F.concat(F.lit("f"), F.col("doc_id") % 50).alias("file"), (F.col("doc_id") % 40).cast("int").alias("line"), scope.alias("scope"), kinds.alias("kinds"))
+
+
+@query(f"""SELECT emit_ord, i.file, i.line, bool_or(coalesce(d.file IS NOT NULL AND (d.kinds IS NULL OR list_contains(list_transform(d.kinds, lambda k: lower(k)), lower(i.kind))
+    OR list_contains(list_transform(d.kinds, lambda k: lower(k)), lower(i.code))), false)) AS suppressed FROM {_ISSUES} i LEFT JOIN {_DIRECTIVES} d ON i.file = d.file
+    AND (d.scope = 'file' OR i.line = CASE d.scope WHEN 'line' THEN d.line ELSE d.line + 1 END) GROUP BY ALL""")
+def inline_suppression(spark: SparkSession, d: str) -> DataFrame:
+    return issues.suppress(_issues(spark, d), _directives(spark, d)).select("emit_ord", "file", "line", "suppressed")
+
+
+@query(f"""SELECT DISTINCT d.file, d.line, name FROM (SELECT file, line, unnest(kinds) AS name FROM {_DIRECTIVES} WHERE scope <> 'file') d
+    WHERE NOT EXISTS (SELECT 1 FROM {_ISSUES} i WHERE i.file = d.file AND i.line BETWEEN d.line AND d.line + 1 AND lower(d.name) IN (lower(i.kind), lower(i.code)))""")
+def unused_suppression(spark: SparkSession, d: str) -> DataFrame:
+    named = _directives(spark, d).filter("scope <> 'file' and kinds is not null").withColumn("covered", F.array(F.col("line"), F.col("line") + 1))
+    return issues.unused_suppressions(_issues(spark, d), named)
+
+
+@query(f"""SELECT emit_ord, severity FROM {_ISSUES} WHERE CASE kind WHEN 'click' THEN 'suppress' WHEN 'view' THEN 'error' ELSE severity END NOT IN ('suppress', 'info')""")
+def severity_visibility(spark: SparkSession, d: str) -> DataFrame:
+    levels = spark.createDataFrame([("click", "suppress"), ("view", "error")], "kind string, level string")
+    return issues.visible(_issues(spark, d), levels).select("emit_ord", "severity")
+
+
+@query(f"SELECT kind, count(*) AS n FROM {_ISSUES} WHERE kind NOT IN ('click', 'purchase') GROUP BY kind")
+def kind_filter(spark: SparkSession, d: str) -> DataFrame:
+    return issues.keep_kinds(_issues(spark, d), ["click", "purchase"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# --- windows and ranges
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, lead(event_type IN ('click', 'purchase')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+    WHERE event_type IN ('click', 'purchase') AND coalesce(nxt, true)""")
+def dead_writes(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    return flow.dead_writes(e, ["user_id"], ["ts", "event_id"], F.col("event_type").isin("click", "purchase")).select("user_id", "event_id")
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, bool_or(value > 150) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gone FROM events) WHERE gone""")
+def unreachable_statements(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select("user_id", "event_id", "value", "ts")
+    return flow.unreachable(e, ["user_id"], ["ts", "event_id"], F.col("value") > 150).select("user_id", "event_id")
+
+
+@query("""SELECT p_partkey, count(*) AS n FROM lineitem JOIN (SELECT p_partkey, p_partkey * 3 AS a, p_partkey * 3 + p_size AS b FROM part) ON l_orderkey >= a AND l_orderkey < b GROUP BY p_partkey""")
+def span_lookup(spark: SparkSession, d: str) -> DataFrame:
+    points = read(spark, d, "lineitem").select("l_orderkey")
+    spans = read(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 3).alias("a"), (F.col("p_partkey") * 3 + F.col("p_size")).alias("b"))
+    return references.range_lookup(points, F.col("l_orderkey"), spans, F.col("a"), F.col("b"), 64).groupBy("p_partkey").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT file, off AS offset, arg_min(name, struct_pack(f := fallback, w := e - s, s := s, n := name)) AS name FROM
+    (SELECT p_size AS file, p_partkey % 500 AS s, p_partkey % 500 + p_partkey % 37 + 1 AS e, p_name AS name, p_partkey % 3 = 0 AS fallback FROM part) JOIN
+    (SELECT DISTINCT p_size AS file, p_partkey % 490 AS off FROM part) USING (file) WHERE s <= off AND off < e GROUP BY file, off""")
+def symbol_at_offset(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").withColumn("file", F.col("p_size"))
+    start = F.col("p_partkey") % 500
+    spans = p.select("file", start.alias("start"), (start + F.col("p_partkey") % 37 + 1).alias("end"), F.col("p_name").alias("name"), (F.col("p_partkey") % 3 == 0).alias("fallback"))
+    return references.symbol_at(spans, p.select("file", (F.col("p_partkey") % 490).alias("offset")).distinct(), 64)
+
+
+@query("""WITH p(prefix) AS (VALUES ('http://'), ('https://'), ('https://blog.'), ('https://tionsh.example.net/'), ('http://tionsh.example.net/fr/'), ('https://tionsh.example.net/es/'))
+    SELECT url, (SELECT max(prefix) FROM p WHERE starts_with(url, prefix) AND prefix LIKE '%/' AND length(prefix) = (SELECT max(length(prefix)) FROM p WHERE starts_with(url, prefix) AND prefix LIKE '%/')) AS prefix FROM pages""")
+def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
+    rules = ["http://", "https://", "https://blog.", "https://tionsh.example.net/", "http://tionsh.example.net/fr/", "https://tionsh.example.net/es/"]
+    return references.longest_prefix(read(spark, d, "pages").select("url"), "url", spark.createDataFrame([(r,) for r in rules], "prefix string"), "prefix")
+
+
+# --- expressions
+
+
+_SPANS = """(SELECT l_partkey, min(l_quantity)::BIGINT AS lo, max(l_quantity)::BIGINT AS hi, min(l_linenumber)::BIGINT AS lo2, (max(l_linenumber) * 9)::BIGINT AS hi2 FROM lineitem GROUP BY l_partkey)"""
+
+
+@query(f"""SELECT l_partkey, CASE WHEN greatest(lo, lo2) <= least(hi, hi2) THEN greatest(lo, lo2) END AS meet_lo, CASE WHEN greatest(lo, lo2) <= least(hi, hi2) THEN least(hi, hi2) END AS meet_hi,
+    least(lo, lo2) AS hull_lo, greatest(hi, hi2) AS hull_hi, hi < lo2 OR hi2 < lo AS apart, lo <= lo2 AND hi >= hi2 AS inside, lo - hi2 AS minus_lo, hi * hi2 AS times_hi,
+    CASE WHEN lo <= 20 THEN least(hi, 20) END AS below_hi FROM {_SPANS}""")
+def interval_algebra(spark: SparkSession, d: str) -> DataFrame:
+    x = read(spark, d, "lineitem").groupBy("l_partkey").agg(
+        iv.interval(F.min("l_quantity").cast("long"), F.max("l_quantity").cast("long")).alias("a"), iv.interval(F.min("l_linenumber").cast("long"), (F.max("l_linenumber") * 9).cast("long")).alias("b")
+    )
+    a, b = F.col("a"), F.col("b")
+    return x.select(
+        "l_partkey", iv.intersect(a, b)["lo"].alias("meet_lo"), iv.intersect(a, b)["hi"].alias("meet_hi"), iv.hull(a, b)["lo"].alias("hull_lo"), iv.hull(a, b)["hi"].alias("hull_hi"),
+        iv.disjoint(a, b).alias("apart"), iv.contains(a, b).alias("inside"), iv.subtract(a, b)["lo"].alias("minus_lo"), iv.multiply(a, b)["hi"].alias("times_hi"), iv.narrow(a, "<=", F.lit(20).cast("long"))["hi"].alias("below_hi"),
+    )
+
+
+@query("""WITH s AS (SELECT user_id, list_sort(list(DISTINCT event_type) FILTER (value > 60)) AS a, list_sort(list(DISTINCT event_type) FILTER (value <= 60)) AS b FROM events GROUP BY user_id)
+    SELECT user_id, list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) AS either, list_sort(list_intersect(coalesce(a, []), coalesce(b, []))) AS both_,
+    list_sort(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x))) AS only_a, list_has_all(coalesce(b, []), coalesce(a, [])) AS a_in_b FROM s""")
+def set_algebra(spark: SparkSession, d: str) -> DataFrame:
+    s = read(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 60, F.col("event_type"))).alias("a"), F.collect_set(F.when(F.col("value") <= 60, F.col("event_type"))).alias("b"))
+    return s.select(
+        "user_id", F.array_sort(F.array_union("a", "b")).alias("either"), F.array_sort(F.array_intersect("a", "b")).alias("both_"), F.array_sort(F.array_except("a", "b")).alias("only_a"),
+        F.forall("a", lambda x: F.array_contains("b", x)).alias("a_in_b"),
+    )
+
+
+@query("""SELECT p_partkey, (since IS NULL OR since // 100 NOT BETWEEN 4 AND 9 OR since <= v) AND (removed IS NULL OR removed // 100 NOT BETWEEN 4 AND 9 OR v < removed) AS included FROM
+    (SELECT p_partkey, 700 + p_size % 5 AS v, CASE WHEN p_partkey % 3 > 0 THEN 500 + p_partkey % 1700 END AS since, CASE WHEN p_partkey % 4 > 0 THEN 600 + p_partkey % 700 END AS removed FROM part)""")
+def version_filter(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    v, since, removed = 700 + F.col("p_size") % 5, F.when(k % 3 > 0, 500 + k % 1700), F.when(k % 4 > 0, 600 + k % 700)
+    return read(spark, d, "part").select("p_partkey", keys.version_in_range(v, since, removed).alias("included"))
+
+
+@query("""SELECT doc_id, len(string_split(left(text, doc_id % 900), chr(10))) AS line, length(string_split(left(text, doc_id % 900), chr(10))[-1]) AS col FROM documents""")
+def line_and_column(spark: SparkSession, d: str) -> DataFrame:
+    at = (F.col("doc_id") % 900).cast("int")
+    return read(spark, d, "documents").select("doc_id", keys.line_of("text", at).alias("line"), keys.column_of("text", at).alias("col"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN regexp_full_match(v, '0|-?[1-9][0-9]*') THEN v END AS as_int, regexp_full_match(v, '[ \\t\\n\\r\\x0B\\f]*[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?[ \\t\\n\\r\\x0B\\f]*') AS numeric FROM
+    (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN '0' || o_custkey WHEN 2 THEN '-' || o_custkey WHEN 3 THEN o_custkey || '.5' WHEN 4 THEN ' ' || o_custkey || 'e3 ' WHEN 5 THEN o_orderstatus ELSE '' END AS v FROM orders)""")
+def array_keys(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    c, r = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 7
+    v = F.when(r == 0, c).when(r == 1, F.concat(F.lit("0"), c)).when(r == 2, F.concat(F.lit("-"), c)).when(r == 3, F.concat(c, F.lit(".5"))).when(r == 4, F.concat(F.lit(" "), c, F.lit("e3 "))).when(r == 5, F.col("o_orderstatus")).otherwise("")
+    return o.select("o_orderkey", v.alias("v")).select("o_orderkey", keys.array_key("v").alias("as_int"), keys.is_numeric_string("v").alias("numeric"))
