@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from factweave.llm.store import keep
+from factweave.llm.store import keep, redealt
 from factweave.llm.wordhash import U, Words, mix, rolling, slices
 
-WINDOW, GRAM = 20, 6
+WINDOW, GRAM = 20, 8
 NO_ID = -(1 << 63)
 BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0x2127599BF4325C37)
 
@@ -92,7 +93,7 @@ def _candidates(window: int, gram: int):
                 pick = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k1.view(np.int64)), pa.array((k2 >> U(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array((at - found.words.first[doc]).astype(np.int32))],
-                    names=["k1", "k2", "id", "x1", "start"],
+                    names=["k1", "k2", "id", "copy", "start"],
                 )
 
     return run
@@ -141,17 +142,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[Da
     chosen = text.select("id", "text").mapInArrow(_minimisers(window, gram), "gram long, id long")
 
     def repeated(rows: DataFrame) -> DataFrame:
-        often = rows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+        often = rows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select(redealt("gram"))
         return rows.join(often, "gram")
 
     some = keep(repeated(chosen), "minimisers")
     ours = keep(some.join(late.filter("all_late"), "id", "left_anti"), "minimisers")
     by_doc = repeated(ours).groupBy("id").agg(F.collect_set("gram").alias("grams")).join(late.select("id", "late"), "id", "left")
-    affected = keep(text.drop("x2").join(by_doc, "id").filter("late is null or not array_contains(late, x1)").drop("late"), "affected")
-    windows = keep(affected.select("id", "x1", "text", "grams").mapInArrow(_candidates(window, gram), "k1 long, k2 int, id long, x1 long, start int"), "windows")
-    origin = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("origin"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = windows.join(origin, ["k1", "k2"]).filter(F.struct("id", "start") > F.col("origin")).groupBy("id", "x1").agg(F.collect_set("start").alias("starts"))
-    return summary, affected.select("id", "x1", "text").join(again, ["id", "x1"])
+    copy = F.dense_rank().over(Window.partitionBy("id").orderBy("x1"))  # tells texts of a repeated doc_id apart
+    affected = keep(text.drop("x2").join(by_doc, "id").filter("late is null or not array_contains(late, x1)").drop("late").withColumn("copy", copy), "affected")
+    # cheaper to hash again than to store: one pass finds the first place of each window, the other compares with it
+    windows = affected.select("id", "copy", "text", "grams").mapInArrow(_candidates(window, gram), "k1 long, k2 int, id long, copy int, start int")
+    origin = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("origin"), F.count("*").alias("n")).filter("n > 1").select(redealt("k1"), "k2", "origin")
+    again = windows.join(origin, ["k1", "k2"]).filter(F.struct("id", "start") > F.col("origin")).groupBy("id", "copy").agg(F.collect_set("start").alias("starts"))
+    return summary, affected.select("id", "copy", "x1", "text").join(again, ["id", "copy"]).drop("copy")
 
 
 def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
