@@ -478,3 +478,172 @@ def array_keys(spark: SparkSession, d: str) -> DataFrame:
     c, r = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 7
     v = F.when(r == 0, c).when(r == 1, F.concat(F.lit("0"), c)).when(r == 2, F.concat(F.lit("-"), c)).when(r == 3, F.concat(c, F.lit(".5"))).when(r == 4, F.concat(F.lit(" "), c, F.lit("e3 "))).when(r == 5, F.col("o_orderstatus")).otherwise("")
     return o.select("o_orderkey", v.alias("v")).select("o_orderkey", keys.array_key("v").alias("as_int"), keys.is_numeric_string("v").alias("numeric"))
+
+
+# --- names, arguments, members
+
+
+_NAMES = r"""(SELECT p_partkey, p_brand AS file, CASE WHEN p_size > 40 THEN '\' ELSE '' END || replace(p_name, ' ', '\') AS name, CASE WHEN p_size % 2 = 0 THEN 'App' ELSE '' END AS namespace FROM part)"""
+_IMPORTS = r"""(SELECT p_brand AS file, upper(left(p_name, 1)) || split_part(p_name, ' ', 1)[2:] AS alias, 'Lib\' || split_part(p_name, ' ', 1) AS fqcn FROM part WHERE p_size < 5)"""
+
+
+@query(rf"""WITH n AS (SELECT *, ltrim(name, '\') AS bare, split_part(ltrim(name, '\'), '\', 1) AS top FROM {_NAMES}),
+    x AS (SELECT file, alias AS top, min(fqcn) AS exact FROM {_IMPORTS} GROUP BY ALL), l AS (SELECT file, lower(alias) AS low, min(fqcn) AS loose FROM {_IMPORTS} GROUP BY ALL),
+    k AS (SELECT DISTINCT lower(replace(p_name, ' ', '\')) AS key FROM part WHERE p_type LIKE 'STANDARD%')
+    SELECT n.file, name, namespace, CASE WHEN starts_with(name, '\') THEN bare WHEN exact IS NOT NULL THEN exact || substr(bare, length(n.top) + 1) WHEN loose IS NOT NULL THEN loose || substr(bare, length(n.top) + 1)
+    WHEN contains(bare, '\') AND key IS NOT NULL THEN bare WHEN namespace = '' THEN bare ELSE namespace || '\' || bare END AS resolved
+    FROM n LEFT JOIN x ON n.file = x.file AND n.top = x.top LEFT JOIN l ON n.file = l.file AND lower(n.top) = l.low LEFT JOIN k ON lower(bare) = key""")
+def name_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Part names as qualified names, brands as files, small parts as imports."""
+    p = read(spark, d, "part")
+    qualified = F.replace("p_name", F.lit(" "), F.lit("\\"))
+    names = p.select(F.col("p_brand").alias("file"), F.concat(F.when(F.col("p_size") > 40, "\\").otherwise(""), qualified).alias("name"), F.when(F.col("p_size") % 2 == 0, "App").otherwise("").alias("namespace"))
+    first = F.substring_index("p_name", " ", 1)
+    alias = F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, F.lit(2), F.length(first)))
+    imports = p.filter("p_size < 5").select(F.col("p_brand").alias("file"), alias.alias("alias"), F.concat(F.lit("Lib\\"), first).alias("fqcn"))
+    return references.resolve_names(names, imports, p.filter("p_type like 'STANDARD%'").select(keys.fold(qualified).alias("key")))
+
+
+@query("""WITH p AS (SELECT l_returnflag AS callee, l_linenumber AS pos, 'p' || l_linenumber AS name, l_linenumber = 4 AS rest FROM lineitem WHERE l_linenumber <= CASE l_returnflag WHEN 'A' THEN 4 ELSE 3 END GROUP BY ALL)
+    SELECT a.l_orderkey AS call_id, a.l_returnflag AS callee, a.l_linenumber AS pos, a.name, coalesce(q.name, p.name, v.name) AS param FROM
+    (SELECT *, CASE WHEN l_linestatus = 'F' THEN 'p' || (1 + l_suppkey % 5) END AS name FROM lineitem) a LEFT JOIN p q ON q.callee = l_returnflag AND q.name = a.name
+    LEFT JOIN p ON a.name IS NULL AND p.callee = l_returnflag AND p.pos = l_linenumber LEFT JOIN p v ON v.callee = l_returnflag AND v.rest AND q.name IS NULL AND (a.name IS NOT NULL OR l_linenumber >= 4)""")
+def argument_binding(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as arguments: some by name, the fourth parameter of one callee takes the rest."""
+    li = read(spark, d, "lineitem")
+    params = li.filter("l_linenumber <= case l_returnflag when 'A' then 4 else 3 end").select(F.col("l_returnflag").alias("callee"), F.col("l_linenumber").alias("pos")).distinct()
+    params = params.select("callee", "pos", F.concat(F.lit("p"), "pos").alias("name"), (F.col("pos") == 4).alias("is_variadic"))
+    name = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("p"), 1 + F.col("l_suppkey") % 5))
+    args = li.select(F.col("l_orderkey").alias("call_id"), F.col("l_returnflag").alias("callee"), F.col("l_linenumber").alias("pos"), name.alias("name"))
+    return references.bind_arguments(args, params)
+
+
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    c = read(spark, d, "customer")
+    me = F.concat(F.lit("c"), "c_custkey").alias("class")
+    return c.select(me, me.alias("ancestor"), F.lit(0).alias("rank")).unionByName(c.select(me, F.concat(F.lit("n"), "c_nationkey").alias("ancestor"), F.lit(1).alias("rank")))
+
+
+@query("""SELECT 'c' || c_custkey AS class, 'n' || c_nationkey AS owner, s AS name FROM customer, (SELECT DISTINCT s_nationkey, 'm' || s_suppkey % 4 AS s FROM supplier WHERE s_acctbal > 5000)
+    WHERE s_nationkey = c_nationkey AND c_mktsegment <> 'BUILDING' AND NOT (c_acctbal > 5000 AND s = 'm' || c_custkey % 4)""")
+def obligations(spark: SparkSession, d: str) -> DataFrame:
+    """What rich suppliers of a nation demand of its customers, and customers do not provide."""
+    s, c = read(spark, d, "supplier"), read(spark, d, "customer")
+    required = s.filter("s_acctbal > 5000").select(F.concat(F.lit("n"), "s_nationkey").alias("owner"), F.concat(F.lit("m"), F.col("s_suppkey") % 4).alias("name")).distinct()
+    provided = c.filter("c_acctbal > 5000").select(F.concat(F.lit("c"), "c_custkey").alias("owner"), F.concat(F.lit("m"), F.col("c_custkey") % 4).alias("name"))
+    return hierarchy.obligations(_chain(spark, d), required, provided, c.filter("c_mktsegment <> 'BUILDING'").select(F.concat(F.lit("c"), "c_custkey").alias("class")))
+
+
+@query("""WITH m AS (SELECT 'c' || c_custkey AS class, 'n' || c_nationkey AS owner, 'limit' AS name, c_custkey % 3 AS vis, c_custkey % 2 = 0 AS st, c_acctbal < 0 AS ab, n_nationkey % 2 AS up_vis, n_nationkey % 3 = 0 AS up_st, n_regionkey = 1 AS fin
+    FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT class, name, owner, unnest(list_filter([CASE WHEN fin THEN 'final overridden' END, CASE WHEN vis > up_vis THEN 'visibility reduced' END,
+    CASE WHEN st <> up_st THEN 'static mismatch' END, CASE WHEN ab THEN 'abstract over concrete' END], lambda x: x IS NOT NULL)) AS rule FROM m""")
+def override_check(spark: SparkSession, d: str) -> DataFrame:
+    c, n = read(spark, d, "customer"), read(spark, d, "nation")
+    name = F.lit("limit").alias("name")
+    own = c.select(F.concat(F.lit("c"), "c_custkey").alias("owner"), name, (F.col("c_custkey") % 3).alias("visibility"), (F.col("c_custkey") % 2 == 0).alias("is_static"), F.lit(False).alias("is_final"), (F.col("c_acctbal") < 0).alias("is_abstract"))
+    up = n.select(F.concat(F.lit("n"), "n_nationkey").alias("owner"), name, (F.col("n_nationkey") % 2).cast("long").alias("visibility"), (F.col("n_nationkey") % 3 == 0).alias("is_static"), (F.col("n_regionkey") == 1).alias("is_final"), F.lit(False).alias("is_abstract"))
+    return hierarchy.overrides(_chain(spark, d), own.unionByName(up))
+
+
+# --- types, value functions, reports
+
+
+@query("""SELECT p_partkey, CASE WHEN nested THEN r ELSE 'never' END AS met, CASE WHEN nested THEN 'int<0,40>|string' ELSE r || '|int<0,40>|string' END AS joined, nested AS is_subset,
+    CASE WHEN lo <= 0 THEN r || '|true' ELSE r || '|true' END AS yes, CASE WHEN lo <= 0 AND hi >= 0 THEN '0|false|null' ELSE 'false|null' END AS no, r AS ints FROM
+    (SELECT *, 'int<' || lo || ',' || hi || '>' AS r, lo >= 0 AND hi <= 40 AS nested FROM (SELECT p_partkey, (p_size - 5)::BIGINT AS lo, (p_size + 5)::BIGINT AS hi FROM part))""")
+def type_algebra(spark: SparkSession, d: str) -> DataFrame:
+    """Sets of atoms from part sizes: intersection, union, subset, truthy and falsy narrowing, family narrowing."""
+    from factweave.functions import types as t
+
+    none = F.lit(None).cast("string")
+    size = F.col("p_size").cast("long")
+    span = F.struct(F.lit("int").alias("tag"), none.alias("lit_str"), (size - 5).alias("lo"), (size + 5).alias("hi"), none.alias("ref_class"))
+    a = read(spark, d, "part").select("p_partkey", F.array(span).alias("a"), F.array(span, t.atom("bool"), t.atom("null")).alias("c"), F.array(t.atom("int", lo=0, hi=40), t.atom("string")).alias("b"))
+    A, B, C = F.col("a"), F.col("b"), F.col("c")  # noqa: N806
+    return a.select(
+        "p_partkey", t.display(t.intersect(A, B)).alias("met"), t.display(t.union(A, B)).alias("joined"), t.subset(A, B).alias("is_subset"), t.display(t.truthy(C)).alias("yes"),
+        t.display(t.falsy(C)).alias("no"), t.display(t.narrow(C, "int")).alias("ints"),
+    )
+
+
+@query("""SELECT p_partkey, upper(left(p_name, 1)) || substr(p_name, 2) AS f1, lower(p_brand) AS f2, array_to_string(list_reverse(string_split(p_name, ' ')), '-') AS f3,
+    replace(replace('<' || p_name || '>', '<', '&lt;'), '>', '&gt;') AS f4, left(p_name, 2) || 'XX' || substr(p_name, 6) AS f5, CASE WHEN contains(p_name, 'a') THEN instr(p_name, 'a') - 1 ELSE -1 END AS f6,
+    md5(p_name) AS f7, base64(encode(p_name)) AS f8, rpad(p_type, greatest(30, length(p_type))::INT, '.') AS f9, repeat(p_brand, 2) AS f10, regexp_matches(p_name, '^[a-m]')::INT AS f11, reverse(p_name) AS f12,
+    regexp_replace(p_name, '[aeiou]', '*', 'g') AS f13, replace(p_name, ' ', '%20') AS f14, lower(hex(encode(p_brand))) AS f15, starts_with(p_type, 'PROMO') AS f16, octet_length(encode(p_name)) AS f17 FROM part""")
+def builtins_text(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.functions.builtins import BUILTINS as B  # noqa: N817
+
+    n, b, t = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    made = (
+        B["ucfirst"](n), B["strtolower"](b), B["implode"]("-", B["array_reverse"](B["explode"](" ", n))), B["htmlspecialchars"](F.concat(F.lit("<"), n, F.lit(">"))), B["substr_replace"](n, "XX", 2, 3), F.coalesce(B["strpos"](n, "a"), F.lit(-1)),
+        B["md5"](n), B["base64_encode"](n), B["str_pad"](t, 30, "."), B["str_repeat"](b, 2), B["preg_match"]("^[a-m]", n), B["strrev"](n), B["preg_replace"]("[aeiou]", "*", n), B["rawurlencode"](n), B["bin2hex"](b),
+        B["str_starts_with"](t, "PROMO"), B["strlen"](n),
+    )
+    return read(spark, d, "part").select("p_partkey", *[c.alias(f"f{i}") for i, c in enumerate(made, 1)])
+
+
+@query("""WITH s AS (SELECT user_id, list(event_id ORDER BY event_id) AS a, list(DISTINCT event_type ORDER BY event_type) AS t FROM events GROUP BY user_id)
+    SELECT user_id, len(a) AS f1, list_sum(list_transform(a, lambda x: x * 2))::DOUBLE AS f2, list_filter(a, lambda x: x > 100) AS f3, a[2:4] AS f4, a[-1] AS f5, list_reverse(a)[1] AS f6, list_max(a) AS f7,
+    list_position(a, a[1]) - 1 AS f8, len(a) // 3 + CASE WHEN len(a) % 3 > 0 THEN 1 ELSE 0 END AS f9, list_sort(list_distinct(list_concat(t, ['x']))) AS f10, a[len(a) - 1:] AS f11 FROM s""")
+def builtins_arrays(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.functions.builtins import BUILTINS as B  # noqa: N817
+
+    s = read(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("a"), F.sort_array(F.collect_set("event_type")).alias("t"))
+    a, t = F.col("a"), F.col("t")
+    made = (
+        B["count"](a), B["array_sum"](B["array_map"](lambda x: x * 2, a)), B["array_filter"](a, lambda x: x > 100), B["array_slice"](a, 1, 3), B["end"](a), B["reset"](B["array_reverse"](a)), B["max"](a),
+        B["array_search"](B["reset"](a), a), B["count"](B["array_chunk"](a, 3)), B["sort"](B["array_unique"](B["array_merge"](t, F.array(F.lit("x"))))), B["array_slice"](a, -2),
+    )
+    return s.select("user_id", *[c.alias(f"f{i}") for i, c in enumerate(made, 1)])
+
+
+@query("""SELECT l_orderkey, l_linenumber, abs(l_tax - l_discount) AS f1, floor(l_extendedprice)::BIGINT AS f2, ceil(l_extendedprice)::BIGINT AS f3, l_partkey // l_linenumber AS f4, least(l_tax, l_discount) AS f5,
+    greatest(l_tax, l_discount) AS f6, sqrt(l_quantity) AS f7, strftime(l_shipdate, '%Y-%m-%d %H') AS f8, fmod(l_extendedprice, 7) AS f9 FROM lineitem""")
+def builtins_numbers(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.functions.builtins import BUILTINS as B  # noqa: N817
+
+    t, x, p = F.col("l_tax"), F.col("l_discount"), F.col("l_extendedprice")
+    made = (B["abs"](t - x), B["floor"](p), B["ceil"](p), B["intdiv"](F.col("l_partkey"), F.col("l_linenumber")), B["min"](t, x), B["max"](t, x), B["sqrt"](F.col("l_quantity")), B["date"]("Y-m-d H", F.col("l_shipdate")), B["fmod"](p, 7))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(f"f{i}") for i, c in enumerate(made, 1)])
+
+
+@query(f"""SELECT emit_ord, format('{{:016x}}', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(kind || ':' || snippet, ''), lambda c: ord(c)::UHUGEINT)),
+    lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS fingerprint FROM {_ISSUES}""")
+def issue_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.sources.sinks import fingerprint
+
+    found = _issues(spark, d)
+    return found.select("emit_ord", fingerprint(found).alias("fingerprint"))
+
+
+@query(f"""SELECT '::' || CASE severity WHEN 'info' THEN 'notice' ELSE severity END || ' file=' || file || ',line=' || line || ',col=1::' || kind || ': ' || code AS value FROM {_ISSUES}""")
+def report_annotations(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.sources.sinks import ci_lines
+
+    return ci_lines(_issues(spark, d).withColumn("col_start", F.lit(0)).withColumn("message", F.col("code")))
+
+
+@query(f"""SELECT file, '<file src="' || file || '">' || string_agg('<' || kind || '>' || codes || '</' || kind || '>', '' ORDER BY kind) || '</file>' AS value FROM
+    (SELECT file, kind, string_agg('<code>' || snippet || '</code>', '' ORDER BY '<code>' || snippet || '</code>') AS codes FROM {_ISSUES} GROUP BY ALL) GROUP BY file""")
+def report_baseline(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.sources.sinks import baseline_xml
+
+    return baseline_xml(_issues(spark, d))
+
+
+@query("SELECT user_id::VARCHAR AS path, sha256(arg_max(event_type || event_id, event_id)) AS content_hash FROM events GROUP BY user_id")
+def edit_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of edits to users; what the table holds when the stream is used up."""
+    import uuid
+
+    from factweave.plans.closure import cut
+    from factweave.streaming.edits import VersionedTable, maintain
+
+    schema = read(spark, d, "events").schema
+    cut(spark.range(1))  # names a checkpoint folder where none is set
+    home = f"{spark.sparkContext.getCheckpointDir()}/edits-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    edits = rows.select(F.col("user_id").cast("string").alias("path"), F.sha2(F.concat("event_type", "event_id"), 256).alias("content_hash"), F.col("event_id").alias("ord"))
+    table = VersionedTable(spark, f"{home}/table", "path string, content_hash string")
+    maintain(edits, table, f"{home}/log").awaitTermination()
+    return table.read()
