@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -40,6 +41,26 @@ def read_ranks(path: str) -> list[bytes]:
     return out
 
 
+#: The usual pattern of byte-level vocabularies (fixed value).
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same on texts of ASCII and the letters U+00C0 to U+024F; that block is letters but for two signs.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+
+
+class Splitter:
+    """Pre-tokens of a text by a pattern; texts in Latin letters take an equal expression that runs faster."""
+
+    def __init__(self, pattern: str):
+        self.any = regex.compile(pattern).findall
+        self.latin = re.compile(rf" ?[{LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+", re.A).findall
+        self.other = re.compile(rf"[^\x00-\x7f{LATIN}]").search if pattern == USUAL else None
+
+    def __call__(self, text: str) -> list[str]:
+        if self.other is not None and (text.isascii() or not self.other(text)):
+            return self.latin(text)
+        return self.any(text)
+
+
 class PerfectHash:
     """Hash and displace: every key of a fixed set has a slot of its own among as many slots as keys."""
 
@@ -90,7 +111,7 @@ class Codec(dict):
         super().__init__()
         self.tokens, self.table = tokens, table
         self.ranks = {t: i for i, t in enumerate(tokens)}
-        self.cut = regex.compile(pattern.replace(r"^\s", r"^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.cut = Splitter(pattern)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(self) >= CACHE:

@@ -16,19 +16,20 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweave.llm.bpe import Splitter
 from factweave.llm.store import keep, open_fs, scratch_path
 from factweave.llm.wordhash import slices
 
-MAGIC, BLOCK, LEVEL, CACHE = b"FWPLANES", 1 << 16, 3, 300_000
+MAGIC, BLOCK, LEVEL, CACHE = b"FWPLANES", 1 << 16, 3, 200_000
 FOOTER = struct.Struct("<IIBBHQQQQ8s")  # block, documents, planes, bit or byte, version, ids, documents at, index at, end, magic
 NO_ID = -(1 << 63)
 
@@ -136,28 +137,48 @@ class Reader:
 
 
 class Encoder(dict):
-    """Ids by the tokenizers library. Its byte-level BPE treats pre-tokens apart, so each distinct one is encoded once."""
+    """Ids by the tokenizers library. Its byte-level BPE treats pre-tokens apart, so each distinct one is encoded once; as a dict, the
+    bounded cache, of two generations, from pre-token to the bytes of its ids."""
 
     def __init__(self, definition: str, pattern: str):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.cut = Splitter(pattern)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes new pre-tokens, many in one text of lines: a line break between two of them is always a token of its own."""
+        lines = [p for p in pieces if not p.isspace()]
+        for at in range(0, len(lines), 4096):
+            some = lines[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.line_break)
+            if len(cuts) == len(some) - 1:
+                raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                start = 0
+                for piece, end in zip(some, ends, strict=True):
+                    self[piece] = raw[start:end]
+                    start = end + 4
+        for p in pieces:  # white space, and lines that did not come apart
+            if p not in self:
+                self[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [self.cut(t) for t in texts]
-        new = list({p for own in pieces for p in own if p not in self})
-        if len(self) + len(new) > CACHE:
+        new = set(chain.from_iterable(pieces)).difference(self)
+        known = new & self.old.keys()
+        self.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        self.learn(list(new - known))
+        out = [np.frombuffer(b"".join(map(self.__getitem__, own)), "<u4") for own in pieces]
+        if len(self) > CACHE:  # the young generation becomes the old one
+            self.old = dict(self)
             self.clear()
-            new = list({p for own in pieces for p in own})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[piece] = tuple(found.ids)
-        return [np.fromiter((i for p in own for i in self[p]), np.uint32) for own in pieces]
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -188,7 +209,7 @@ def write(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int
         with fs.open_output_stream(own) as out:
             made = Writer(out, planes, bits)
             for whole in batches:
-                for batch in slices(whole, "text"):
+                for batch in slices(whole, "text", 1 << 20):
                     ids = _encoder(shared).encode([t or "" for t in batch.column(1).to_pylist()])
                     for doc_id, x in zip(batch.column(0).to_pylist(), ids, strict=True):
                         made.add(NO_ID if doc_id is None else doc_id, np.append(x, np.uint32(end_id)))
