@@ -18,19 +18,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factweave.llm.components import components
-from factweave.llm.store import keep, redealt
+from factweave.llm.store import keep, outlive, redealt, tidy
 from factweave.llm.wordhash import U, Words, mix, rolling, slices
 
 K, R, B, Z = 128, 4, 4, 4.5
 BANDS, LANES = K // R, 64 // B
-BLOCK = 512
+BLOCK = 256
 GRAM_BASE = 0xA24BAED4963EE407
 TILE = 1 << 15
 _seed = np.random.Generator(np.random.PCG64(20_26))
@@ -169,72 +168,104 @@ def estimate(x, y):
     return ((F.lit(1.0) - apart / K) - 2.0**-B) / (1 - 2.0**-B)
 
 
+CELL = ["bucket", "r", "c"]
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Rows sorted by cell, as tables of whole cells with the bounds of each; a cell never spans two tables."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (rows if held is None else pa.concat_tables([held, rows])).combine_chunks()
+        keys = [np.asarray(rows[c]) for c in CELL]
+        starts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if len(starts):
+            yield rows.slice(0, starts[-1]), [0, *starts.tolist()]
+        held = rows.slice(starts[-1]) if len(starts) else rows
+    if held is not None and held.num_rows:
+        yield held, [0, held.num_rows]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = np.asarray(column.combine_chunks().flatten() if column.num_chunks != 1 else column.chunk(0).flatten())
+    return values.reshape(len(column), -1)
+
+
 def _cells(least: float, threshold: float):
-    """Of one block, the documents that may be similar to one of another group: (bucket, r, c, id, ids of the other ones).
+    """Of each cell, the documents that may be similar to one of another group: (bucket, r, c, id, ids of the other ones).
 
     A pair is named by one side only, and only in the first band that both share.
     """
     lanes = U(int("1" * LANES, 16))
     percent = round(100 * threshold)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        named: dict[int, list[int]] = {}
-        if len(left) and len(right):
-            (la, lg, ln, ls, lk), (ra, rg, rn, rs, rk) = (
-                (x["id"].to_numpy(), x["grp"].to_numpy(), x["n_shingles"].to_numpy(), np.stack(x["signature"].to_numpy()).astype(np.int64).view(U), np.stack(x["bands"].to_numpy()).astype(np.int64))
-                for x in (left, right)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _by_cell(batches):
+            ids, grp, n, role, outer, bucket = (np.asarray(rows[c]) for c in ("id", "grp", "n_shingles", "role", "outer", "bucket"))
+            sig, bands = _matrix(rows["signature"]).view(U), _matrix(rows["bands"])
+            out_at, out_id, out_others = [], [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                left, right = lo + np.flatnonzero(role[lo:hi] == 0), lo + np.flatnonzero(role[lo:hi] == 1)
+                named: dict[int, list[int]] = {}
+                for i in left:
+                    # two outsiders meet twice; the smaller id keeps the pair
+                    j = right[(grp[right] != grp[i]) & (~outer[right] | (ids[right] > ids[i])) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+                    if len(j):
+                        v = sig[j] ^ sig[i]
+                        v |= v >> U(2)
+                        v |= v >> U(1)
+                        apart = np.bitwise_count(v & lanes).sum(1)
+                        j = j[((1 - apart / K) - 2.0**-B) / (1 - 2.0**-B) >= least]
+                    if len(j):
+                        j = j[bands[i][(bands[j] == bands[i]).argmax(1)] == bucket[i]]
+                    if len(j):
+                        named[int(ids[i])] = ids[j].tolist()
+                        for x in ids[j].tolist():
+                            named.setdefault(x, [])
+                out_at += [lo] * len(named)
+                out_id += named.keys()
+                out_others += named.values()
+            at = pa.array(out_at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(rows[c].combine_chunks().take(at) for c in CELL), pa.array(out_id, pa.int64()), pa.array(out_others, pa.list_(pa.int64()))], names=[*CELL, "id", "others"]
             )
-            outer, mine = right["outer"].to_numpy(), int(key[0])
-            for i in range(len(la)):
-                # two outsiders meet twice; the smaller id keeps the pair
-                j = np.flatnonzero((rg != lg[i]) & (~outer | (ra > la[i])) & (100 * np.minimum(rn, ln[i]) >= percent * np.maximum(rn, ln[i])))
-                v = rs[j] ^ ls[i]
-                v |= v >> U(2)
-                v |= v >> U(1)
-                apart = np.bitwise_count(v & lanes).sum(1)
-                j = j[((1 - apart / K) - 2.0**-B) / (1 - 2.0**-B) >= least]
-                if len(j):
-                    j = j[lk[i][(rk[j] == lk[i]).argmax(1)] == mine]
-                if len(j):
-                    named[int(la[i])] = ra[j].tolist()
-                    for x in named[int(la[i])]:
-                        named.setdefault(x, [])
-        cell = {c: np.full(len(named), k, np.int64) for c, k in zip(("bucket", "r", "c"), key, strict=True)}
-        return pd.DataFrame(cell | {"id": np.array(list(named), np.int64), "others": pd.Series(list(named.values()), dtype=object)})
 
     return run
 
 
 def _settle(threshold: float):
-    """Of one block, the links between its named documents by their full sets, as few as join the same ones."""
+    """Of each cell, the links between its named documents by their full sets, as few as join the same ones."""
     percent = round(100 * threshold)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {i: np.frombuffer(s, U) for i, s in zip(rows["id"], rows["shingles"], strict=True)}
-        root = {i: i for i in sets}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        links = []
-        for a, others in zip(rows["id"], rows["others"], strict=True):
-            others = [b for b in others if find(b) != find(a)]
-            own = sets[a]
-            for at in range(0, len(others), 256):
-                some = others[at : at + 256]
-                every = np.concatenate([sets[b] for b in some])
-                sizes = np.array([len(sets[b]) for b in some])
-                place = np.minimum(np.searchsorted(own, every), len(own) - 1)
-                both = np.add.reduceat((own[place] == every).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-                for b in np.array(some)[100 * both >= percent * (sizes + len(own) - both)].tolist():
-                    x, y = find(a), find(b)
-                    if x != y:
-                        root[x] = y
-                        links.append((a, b))
-        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cuts in _by_cell(batches):
+            ids, others = rows["id"].to_pylist(), rows["others"].to_pylist()
+            raw = rows["shingles"].to_pylist()
+            links: list[tuple[int, int]] = []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                sets = {ids[k]: np.frombuffer(raw[k], U) for k in range(lo, hi)}
+                root = {i: i for i in sets}
+
+                def find(x: int, root: dict[int, int] = root) -> int:
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                for k in range(lo, hi):
+                    a, own = ids[k], sets[ids[k]]
+                    open_ = [b for b in others[k] if find(b) != find(a)]
+                    for at in range(0, len(open_), 256):
+                        some = open_[at : at + 256]
+                        every = np.concatenate([sets[b] for b in some])
+                        sizes = np.array([len(sets[b]) for b in some])
+                        place = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                        both = np.add.reduceat((own[place] == every).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+                        for b in np.array(some)[100 * both >= percent * (sizes + len(own) - both)].tolist():
+                            x, y = find(a), find(b)
+                            if x != y:
+                                root[x] = y
+                                links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -248,61 +279,68 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     like any other, and all rows that bear the component's id are kept. A null ``doc_id`` takes no part: its component is null
     and it is kept. Extra columns are ignored.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    least = room(threshold)
-    seen = keep(text.mapInArrow(_signatures(size), SIGNATURE), "signatures")
-    part = seen.filter("n_shingles > 0 and doc_id is not null")
-    # representatives: the smallest document of each set
-    first = part.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    copied = first.filter("copies > 1").select(redealt("set_hi"), redealt("set_lo"), "id")
-    member = keep(part.select("doc_id", "set_hi", "set_lo").join(copied, ["set_hi", "set_lo"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("id")), "members")
-    later = member.filter("doc_id <> id").select("doc_id").distinct()
-    reps = part.join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands")
-    reps = keep(reps.dropDuplicates(["id"]), "representatives")
-    entries = reps.select("id", F.explode("bands").alias("bucket"))
-    crowded = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(redealt("bucket"))
-    shared = keep(entries.join(crowded, "bucket"), "buckets")
-    pivots = shared.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("pivot")).select(redealt("bucket"), "pivot")
-    met = shared.join(pivots, "bucket")
-    involved = shared.select("id").distinct()
-    facts = keep(reps.join(involved, "id", "left_semi"), "facts")
-    sets = keep(text.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets").dropDuplicates(["id"])
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("id").alias(e), F.col("shingles").alias(f"s{e}")) for e in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(threshold), "a long, b long")
-
-    # members against pivots: the four most promising pivots of each member
-    x, y = (facts.select(F.col("id").alias(e), F.col("signature").alias(f"g{e}"), F.col("n_shingles").alias(f"n{e}")) for e in "ab")
-    star = met.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    likely = star.join(y, "b").join(x, "a").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b", estimate(F.col("ga"), F.col("gb")).alias("guess")).filter(F.col("guess") >= least)
-    best = likely.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("guess"), "b"))).filter("r <= 4").select("a", "b")
-    links = keep(confirmed(best), "links")
-    grouped = components(links)
-
-    # what is still apart inside a bucket
-    placed = shared.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("grp"))
-    by_group = placed.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
-    split = (
-        by_group.groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("grp", F.struct("n", "grp")).alias("main"), F.max("n").alias("n_main")).filter("n > n_main")
-        .select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("across"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).alias("down"))
-    )
-    apart = placed.join(split, "bucket").withColumn("outer", F.col("grp") != F.col("main")).withColumn("h", F.xxhash64("id"))
-    own_row, own_column = F.pmod("h", F.col("down")), F.pmod("h", F.col("across"))
-    as_left = apart.filter("outer").select("*", F.lit(0).alias("role"), own_row.alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("c"))
-    as_right = apart.select("*", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"), own_column.alias("c"))
-    blocks = as_left.select("bucket", "id", "grp", "outer", "role", "r", "c").unionByName(as_right.select("bucket", "id", "grp", "outer", "role", "r", "c"))
-    cells = blocks.join(facts, "id").select(*blocks.columns, "n_shingles", "signature", "bands").groupBy("bucket", "r", "c")
-    named = cells.applyInPandas(_cells(least, threshold), "bucket long, r long, c long, id long, others array<long>")
-    more = named.join(sets, "id").groupBy("bucket", "r", "c").applyInPandas(_settle(threshold), "a long, b long")
-    final = components(links.unionByName(more))
-
-    placed = member.select("doc_id", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).distinct()
-    return (
-        seen.select("doc_id", "n_shingles")
-        .join(placed, "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component_id", "doc_id") == F.col("doc_id"))).alias("kept"))
-    )
+    with tidy(docs.sparkSession):
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        least = room(threshold)
+        seen = keep(text.mapInArrow(_signatures(size), SIGNATURE), "signatures")
+        part = seen.filter("n_shingles > 0 and doc_id is not null")
+        # representatives: the smallest document of each set
+        first = part.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+        copied = first.filter("copies > 1").select(redealt("set_hi"), redealt("set_lo"), "id")
+        member = keep(part.select("doc_id", "set_hi", "set_lo").join(copied, ["set_hi", "set_lo"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("id")), "members")
+        later = member.filter("doc_id <> id").select("doc_id").distinct()
+        reps = part.join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands")
+        reps = keep(reps.dropDuplicates(["id"]), "representatives")
+        entries = reps.select("id", F.explode("bands").alias("bucket"))
+        crowded = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(redealt("bucket"))
+        shared = keep(entries.join(crowded, "bucket"), "buckets")
+        pivots = shared.groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", "bucket")).alias("pivot")).select(redealt("bucket"), "pivot")
+        met = shared.join(pivots, "bucket")
+        involved = shared.select("id").distinct()
+        facts = keep(reps.join(involved, "id", "left_semi"), "facts")
+        sets = keep(text.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets").dropDuplicates(["id"])
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            x, y = (sets.select(F.col("id").alias(e), F.col("shingles").alias(f"s{e}")) for e in "ab")
+            return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(threshold), "a long, b long")
+
+        # members against pivots: the four most promising pivots of each member
+        x, y = (facts.select(F.col("id").alias(e), F.col("signature").alias(f"g{e}"), F.col("n_shingles").alias(f"n{e}")) for e in "ab")
+        star = met.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+        likely = star.join(y, "b").join(x, "a").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b", estimate(F.col("ga"), F.col("gb")).alias("guess")).filter(F.col("guess") >= least)
+        best = likely.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("guess"), "b"))).filter("r <= 4").select("a", "b")
+        links = keep(confirmed(best), "links")
+        grouped = components(links)
+
+        # what is still apart inside a bucket
+        placed = shared.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("grp"))
+        by_group = placed.groupBy("bucket", "grp").agg(F.count("*").alias("n"))
+        split = (
+            by_group.groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("grp", F.struct("n", "grp")).alias("main"), F.max("n").alias("n_main")).filter("n > n_main")
+            .select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("across"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).alias("down"))
+        )
+        apart = placed.join(split, "bucket").withColumn("outer", F.col("grp") != F.col("main")).withColumn("h", F.xxhash64("id"))
+        own_row, own_column = F.pmod("h", F.col("down")), F.pmod("h", F.col("across"))
+        as_left = apart.filter("outer").select("*", F.lit(0).alias("role"), own_row.alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("c"))
+        as_right = apart.select("*", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"), own_column.alias("c"))
+        blocks = as_left.select("bucket", "id", "grp", "outer", "role", "r", "c").unionByName(as_right.select("bucket", "id", "grp", "outer", "role", "r", "c"))
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # cells are small but cost time
+
+        def dealt(rows: DataFrame) -> DataFrame:
+            return rows.repartition(parts, *CELL).sortWithinPartitions(*CELL)
+
+        cells = dealt(blocks.join(facts, "id").select(*blocks.columns, "n_shingles", "signature", "bands"))
+        named = cells.mapInArrow(_cells(least, threshold), "bucket long, r long, c long, id long, others array<long>")
+        more = dealt(named.join(sets, "id")).select(*CELL, "id", "others", "shingles").mapInArrow(_settle(threshold), "a long, b long")
+        final = components(links.unionByName(more))
+
+        placed = member.select("doc_id", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).distinct()
+        found = (
+            seen.select("doc_id", "n_shingles")
+            .join(placed, "doc_id", "left")
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.coalesce("component_id", "doc_id") == F.col("doc_id"))).alias("kept"))
+        )
+        return outlive(found, "groups")
 
 
 def unique(docs: DataFrame, **how) -> DataFrame:

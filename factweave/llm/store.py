@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,19 +33,45 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/factweave-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`keep` writes inside are deleted at the end; what must outlive it is written by :func:`outlive`."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            _file_system(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def outlive(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read from there: lineage ends, a lost executor loses nothing."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """:func:`outlive` until the end of the :func:`tidy` block around it."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    if _scopes.__dict__.get("stack"):
+        _scopes.stack[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def redealt(key: str) -> Column:
     """A long key under its own name as an expression of its own: a join then deals this aggregated side anew instead of
     using the aggregate's exchange, both sides stand alone, and adaptive execution can split a hot key."""
