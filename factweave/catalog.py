@@ -647,3 +647,72 @@ def edit_stream(spark: SparkSession, d: str) -> DataFrame:
     table = VersionedTable(spark, f"{home}/table", "path string, content_hash string")
     maintain(edits, table, f"{home}/log").awaitTermination()
     return table.read()
+
+
+# --- single symbols and the flow kernel
+
+
+@query("""SELECT o_orderkey, o_custkey AS key, CASE WHEN c_acctbal >= 0 THEN c_name END AS place,
+    CASE WHEN c_custkey IS NULL THEN 'not found' WHEN c_acctbal >= 0 THEN 'found' ELSE 'no source location' END AS status
+    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment <> 'MACHINERY') ON o_custkey = c_custkey""")
+def definition_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Where each ordering customer is defined; indebted customers have no place, one segment is unknown."""
+    from factweave.operators import lookup
+
+    index_ = read(spark, d, "customer").filter("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("key"), F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("place"))
+    return lookup.definition(read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key")), index_, "key", "place")
+
+
+@query(f"""WITH RECURSIVE e AS {_TREE}, r AS (SELECT child, parent AS ancestor FROM e UNION ALL SELECT r.child, e.parent FROM r JOIN e ON r.ancestor = e.child), c AS (SELECT 'n' || n_nationkey AS class FROM nation)
+    SELECT class, class AS member_of FROM c UNION SELECT class, ancestor FROM c JOIN r ON child = class UNION SELECT class, child FROM c JOIN r ON ancestor = class""")
+def member_family(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.operators import lookup
+
+    return lookup.member_family(read(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("class")), hierarchy.ancestors(_tree(spark, d)))
+
+
+@query("SELECT l_suppkey, string_agg(DISTINCT '''' || l_returnflag || l_linestatus || '''', '|' ORDER BY '''' || l_returnflag || l_linestatus || '''') AS returned FROM lineitem GROUP BY l_suppkey")
+def inferred_return_types(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.functions import types as t
+    from factweave.operators import lookup
+
+    none = F.lit(None)
+    atom = F.struct(F.lit("literal-string").alias("tag"), F.concat("l_returnflag", "l_linestatus").alias("lit_str"), none.cast("bigint").alias("lo"), none.cast("bigint").alias("hi"), none.cast("string").alias("ref_class"))
+    found = lookup.inferred_types(read(spark, d, "lineitem").select("l_suppkey", F.array(atom).alias("types")), "l_suppkey")
+    return found.select("l_suppkey", t.display(F.col("types")).alias("returned"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type = 'click' AS w, coalesce(bool_or(event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS known,
+    lead(event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events)
+    SELECT 'u' || user_id AS scope, event_id AS pos, CASE WHEN w THEN 'UnusedVariable' ELSE 'UndefinedVariable' END AS kind FROM e WHERE (w AND coalesce(nxt, true)) OR (NOT w AND NOT known)""")
+def flow_kernel(spark: SparkSession, d: str) -> DataFrame:
+    """Users as scopes of straight-line code: clicks write a variable, other events read it."""
+    from factweave.operators.kernel import analyse_scopes
+
+    e = read(spark, d, "events")
+    op = F.when(F.col("event_type") == "click", "assign").otherwise("read")
+    rows = e.select(F.lit("f").alias("file"), F.concat(F.lit("u"), "user_id").alias("scope"), F.col("event_id").alias("pos"), op.alias("op"), F.lit("x").alias("var"), F.array(F.lit("int")).alias("types"))
+    return analyse_scopes(rows).filter("kind <> 'env'").select("scope", "pos", "kind")
+
+
+@query("""SELECT p_partkey, replace(p_brand, '#', '') || '|null' AS put, CASE WHEN p_size <= 10 THEN 'true' WHEN p_size > 40 THEN 'false' ELSE 'true|false' END AS chosen, p_size > 25 AS broken FROM part""")
+def template_types(spark: SparkSession, d: str) -> DataFrame:
+    """A template bound to a class from the part's brand, a conditional type decided by its size, and a bound on the size."""
+    from factweave.functions import types as t
+
+    none = F.lit(None)
+    text, number = none.cast("string"), none.cast("bigint")
+    size = F.col("p_size").cast("bigint")
+    span = lambda lo, hi: F.array(F.struct(F.lit("int").alias("tag"), text.alias("lit_str"), lo.alias("lo"), hi.alias("hi"), text.alias("ref_class")))
+    brand = F.array(F.struct(F.lit("named-object").alias("tag"), text.alias("lit_str"), number.alias("lo"), number.alias("hi"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("ref_class")))
+    template = t.atom("template", ref_class="T")
+    bound = t.infer(F.array(F.array(template)), F.array(brand))
+    subject = F.when(size <= 10, span(size, size)).when(size > 40, F.array(t.atom("string"))).otherwise(span(size - 20, size))
+    rows = read(spark, d, "part").select("p_partkey", bound.alias("bound"), subject.alias("subject"), span(size, size).alias("own"))
+    small, large = F.array(t.atom("int", lo=0, hi=10)), F.array(t.atom("int", lo=0, hi=25))
+    chosen = t.conditional(F.col("subject"), small, F.array(t.atom("true")), F.array(t.atom("false")))
+    wide = F.when(F.col("subject")[0]["lo"] < F.col("subject")[0]["hi"], F.array(t.atom("true"), t.atom("false"))).otherwise(chosen)
+    return rows.select(
+        "p_partkey", t.display(t.substitute(F.array(template, t.atom("null")), F.col("bound"))).alias("put"), t.display(wide).alias("chosen"),
+        (F.size(t.broken_bounds(F.map_from_arrays(F.array(F.lit("T")), F.array("own")), F.map_from_arrays(F.array(F.lit("T")), F.array(large)))) > 0).alias("broken"),
+    )

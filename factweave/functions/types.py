@@ -191,3 +191,29 @@ def display(a: Column) -> Column:
         )
 
     return F.when(F.size(a) == 0, F.lit("never")).otherwise(F.array_join(F.transform(a, one), "|"))
+
+
+def substitute(a: Column, bindings: Column) -> Column:
+    """Template atoms (tag ``template``, name in ``ref_class``) replaced by what ``bindings`` (map from name to set) gives them."""
+    one = lambda x: F.coalesce(F.when(x["tag"] == "template", F.try_element_at(bindings, x["ref_class"])), F.array(x))
+    return F.aggregate(F.transform(a, one), F.array().cast(f"array<{ATOM}>"), lambda acc, x: union(acc, x))
+
+
+def infer(params: Column, args: Column) -> Column:
+    """Bindings of the templates that stand alone in ``params``, from the sets in ``args``; both are arrays of sets."""
+    pairs = F.filter(F.arrays_zip(params.alias("p"), args.alias("a")), lambda x: (F.size(x["p"]) == 1) & (x["p"][0]["tag"] == "template") & x["a"].isNotNull())
+    names = F.array_distinct(F.transform(pairs, lambda x: x["p"][0]["ref_class"]))
+    empty = F.array().cast(f"array<{ATOM}>")
+    value = lambda n: F.aggregate(F.filter(pairs, lambda x: x["p"][0]["ref_class"] == n), empty, lambda acc, x: union(acc, x["a"]))
+    return F.map_from_arrays(names, F.transform(names, value))
+
+
+def broken_bounds(bindings: Column, bounds: Column) -> Column:
+    """Names whose binding is not inside its bound."""
+    bad = F.map_filter(bindings, lambda n, b: F.coalesce(~subset(b, F.try_element_at(bounds, n)), F.lit(False)))
+    return F.array_sort(F.map_keys(bad))
+
+
+def conditional(subject: Column, test: Column, yes: Column, no: Column) -> Column:
+    """``subject is test ? yes : no``: one side where the test is decided, else both."""
+    return F.when(subset(subject, test), yes).when(disjoint(subject, test), no).otherwise(union(yes, no))
