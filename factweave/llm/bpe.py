@@ -13,8 +13,8 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factweave.llm.store import small_batches
 from factweave.llm.wordhash import slices
 
-CACHE = 300_000
+CACHE = 100_000
 WORD = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
 
@@ -52,13 +53,15 @@ class Splitter:
 
     def __init__(self, pattern: str):
         self.any = regex.compile(pattern).findall
-        self.latin = re.compile(rf" ?[{LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+", re.A).findall
+        self.ascii, self.latin = (re.compile(rf" ?[{x}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{x}]+|\s+(?!\S)|\s+", re.A).findall for x in ("A-Za-z", LATIN))
         self.other = re.compile(rf"[^\x00-\x7f{LATIN}]").search if pattern == USUAL else None
 
     def __call__(self, text: str) -> list[str]:
-        if self.other is not None and (text.isascii() or not self.other(text)):
-            return self.latin(text)
-        return self.any(text)
+        if self.other is None:
+            return self.any(text)
+        if text.isascii():
+            return self.ascii(text)
+        return self.any(text) if self.other(text) else self.latin(text)
 
 
 class PerfectHash:
@@ -105,20 +108,25 @@ class PerfectHash:
 
 
 class Codec(dict):
-    """Encoder and decoder; as a dict, the bounded cache from pre-token to ids."""
+    """Encoder and decoder; as a dict, the bounded cache, of two generations, from pre-token to the bytes of its ids."""
 
     def __init__(self, tokens: list[bytes], pattern: str, table: PerfectHash):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokens, self.table = tokens, table
         self.ranks = {t: i for i, t in enumerate(tokens)}
         self.cut = Splitter(pattern)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= CACHE:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:  # the young generation becomes the old one
+            self.old = dict(self)
             self.clear()
-        data = piece.encode()
-        i = self.table.index(data)
-        ids = self[piece] = (i,) if self.tokens[i] == data else self.merge(data)
+        ids = self.old.get(piece)
+        if ids is None:
+            data = piece.encode()
+            i = self.table.index(data)
+            ids = array("I", (i,) if self.tokens[i] == data else self.merge(data)).tobytes()
+        self[piece] = ids
         return ids
 
     def merge(self, data: bytes) -> tuple[int, ...]:
@@ -153,8 +161,8 @@ class Codec(dict):
             i = after[i]
         return tuple(out)
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.cut(text))))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, self.cut(text))), np.uint32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -176,6 +184,7 @@ _built: dict[tuple[str, str], tuple] = {}
 
 def share(docs: DataFrame, path: str, pattern: str):
     """The vocabulary and its perfect hash as a broadcast; its size is that of the vocabulary file."""
+    small_batches(docs.sparkSession)
     if (path, pattern) not in _built:
         tokens = read_ranks(path)
         name = hashlib.sha256(b"\0".join([pattern.encode(), *tokens])).hexdigest()
@@ -193,7 +202,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
         coder = codec(shared)
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = [np.array(coder.encode(t or ""), np.int32) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                found = [coder.encode(t or "").view(np.int32) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 cuts = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))], names=schema.names)
 
@@ -226,8 +235,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 for t in batch.column(1):
                     ids = coder.encode(t.as_py() or "")
                     n.append(len(ids))
-                    ids_hash.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                    text_hash.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                    ids_hash.append(hashlib.sha256(ids.astype("<u4", copy=False).tobytes()).hexdigest())
+                    text_hash.append(hashlib.sha256(coder.decode(ids.tolist())).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factweave.llm.store import small_batches
 from factweave.llm.wordhash import NO_LETTER, U, Words, mix, slices
 
 BITS, SAMPLE, FEATURES, PREFIX = 20, 8000, 4096, 4
@@ -103,6 +104,7 @@ def grades_from_binary(rows: list[tuple[np.ndarray, np.ndarray]], flags: np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int = SAMPLE) -> Severity:
     """A model from labels (doc_id, ``grade``). Grades 0 and 1 alone are spread by :func:`grades_from_binary`."""
+    small_batches(docs.sparkSession)
     drawn = labels.filter(F.col(grade).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(grade).cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most ``sample`` rows
 
@@ -126,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", sample: int =
 
 def score(docs: DataFrame, model: Severity) -> DataFrame:
     """doc_id, expected_severity, grade (the most that is more likely reached than not), flagged (grade above 0)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,8 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Rows that go to a Python worker at once; texts are long, so Spark's default would hold tens of MB on both sides.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Caps the session's Arrow batches at BATCH_ROWS rows; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the application ends."""
+    small_batches(spark)
     path = f"{shared_dir(spark)}/factweave-{name}-{uuid.uuid4().hex}"
     _file_system(spark, path).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
     return path
