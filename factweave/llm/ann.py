@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factweave.llm.store import keep
+from factweave.llm.store import outlive
 
 LISTS, PROBES, PARTS, SAMPLE = 256, 160, 16, 20_000
 BLOCK, QUERY_BLOCK, PER_BLOCK, RERANK = 8192, 256, 40, 200
@@ -106,7 +106,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, lists: int = LISTS
                 pick = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1), pa.int32()), batch.column(0).take(pick), batch.column(1).take(pick)], names=["list", "query_id", "q"])
 
-    index = keep(rows.mapInArrow(coded, "list int, vec_id long, code binary"), "index")
+    index = outlive(rows.mapInArrow(coded, "list int, vec_id long, code binary"), "index")
     queries = rows.filter(F.col("vec_id") % every == 0)
     visited = queries.mapInArrow(visits, "list int, query_id long, q array<double>")
     # lists are few (at most ``lists``); long ones are cut in blocks, and so are the queries that visit a list

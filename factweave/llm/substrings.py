@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factweave.llm.store import keep, redealt
+from factweave.llm.store import keep, outlive, redealt, tidy
 from factweave.llm.wordhash import U, Words, mix, rolling, slices
 
 WINDOW, GRAM = 20, 8
@@ -133,28 +133,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(summary, marked): summary has (id, x1, n_words, all_sha256, later) of every row, later = an earlier text is the same;
     marked has (id, x1, text, starts) of the other documents in which windows start that also start earlier."""
-    text = _keyed(docs)
-    seen = keep(text.mapInArrow(_summary, "id long, x1 long, x2 long, n_words long, all_sha256 string"), "texts")
-    first = seen.groupBy("x1", "x2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    summary = keep(seen.join(first, ["x1", "x2"], "left").withColumn("later", F.coalesce(F.col("id") > F.col("first"), F.lit(False))).drop("first", "x2"), "summary")
-    late = summary.groupBy("id").agg(F.collect_set(F.when(F.col("later"), F.col("x1"))).alias("late"), F.min("later").alias("all_late")).filter(F.size("late") > 0)
-
-    chosen = text.select("id", "text").mapInArrow(_minimisers(window, gram), "gram long, id long")
-
-    def repeated(rows: DataFrame) -> DataFrame:
-        often = rows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select(redealt("gram"))
-        return rows.join(often, "gram")
-
-    some = keep(repeated(chosen), "minimisers")
-    ours = keep(some.join(late.filter("all_late"), "id", "left_anti"), "minimisers")
-    by_doc = repeated(ours).groupBy("id").agg(F.collect_set("gram").alias("grams")).join(late.select("id", "late"), "id", "left")
-    copy = F.dense_rank().over(Window.partitionBy("id").orderBy("x1"))  # tells texts of a repeated doc_id apart
-    affected = keep(text.drop("x2").join(by_doc, "id").filter("late is null or not array_contains(late, x1)").drop("late").withColumn("copy", copy), "affected")
-    # cheaper to hash again than to store: one pass finds the first place of each window, the other compares with it
-    windows = affected.select("id", "copy", "text", "grams").mapInArrow(_candidates(window, gram), "k1 long, k2 int, id long, copy int, start int")
-    origin = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("origin"), F.count("*").alias("n")).filter("n > 1").select(redealt("k1"), "k2", "origin")
-    again = windows.join(origin, ["k1", "k2"]).filter(F.struct("id", "start") > F.col("origin")).groupBy("id", "copy").agg(F.collect_set("start").alias("starts"))
-    return summary, affected.select("id", "copy", "x1", "text").join(again, ["id", "copy"]).drop("copy")
+    with tidy(docs.sparkSession):
+        text = _keyed(docs)
+        seen = keep(text.mapInArrow(_summary, "id long, x1 long, x2 long, n_words long, all_sha256 string"), "texts")
+        first = seen.groupBy("x1", "x2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(redealt("x1"), "x2", "first")
+        summary = keep(seen.join(first, ["x1", "x2"], "left").withColumn("later", F.coalesce(F.col("id") > F.col("first"), F.lit(False))).drop("first", "x2"), "summary")
+        late = summary.groupBy("id").agg(F.collect_set(F.when(F.col("later"), F.col("x1"))).alias("late"), F.min("later").alias("all_late")).filter(F.size("late") > 0)
+
+        chosen = text.select("id", "text").mapInArrow(_minimisers(window, gram), "gram long, id long")
+
+        def repeated(rows: DataFrame) -> DataFrame:
+            often = rows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select(redealt("gram"))
+            return rows.join(often, "gram")
+
+        some = keep(repeated(chosen), "minimisers")
+        ours = keep(some.join(late.filter("all_late"), "id", "left_anti"), "minimisers")
+        by_doc = repeated(ours).groupBy("id").agg(F.collect_set("gram").alias("grams")).join(late.select("id", "late"), "id", "left")
+        copy = F.dense_rank().over(Window.partitionBy("id").orderBy("x1"))  # tells texts of a repeated doc_id apart
+        affected = keep(text.drop("x2").join(by_doc, "id").filter("late is null or not array_contains(late, x1)").drop("late").withColumn("copy", copy), "affected")
+        # cheaper to hash again than to store: one pass finds the first place of each window, the other compares with it
+        windows = affected.select("id", "copy", "text", "grams").mapInArrow(_candidates(window, gram), "k1 long, k2 int, id long, copy int, start int")
+        origin = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("origin"), F.count("*").alias("n")).filter("n > 1").select(redealt("k1"), "k2", "origin")
+        again = windows.join(origin, ["k1", "k2"]).filter(F.struct("id", "start") > F.col("origin")).groupBy("id", "copy").agg(F.collect_set("start").alias("starts"))
+        return outlive(summary, "summary"), outlive(affected.select("id", "copy", "x1", "text").join(again, ["id", "copy"]).drop("copy"), "marked")
 
 
 def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
