@@ -29,26 +29,31 @@ from factweave.llm.bpe import Splitter
 from factweave.llm.store import keep, open_fs, scratch_path
 from factweave.llm.wordhash import slices
 
-MAGIC, BLOCK, LEVEL, CACHE = b"FWPLANES", 1 << 16, 3, 200_000
+MAGIC, BLOCK, LEVEL, CACHE = b"FWPLANES", 1 << 16, 3, 350_000
 FOOTER = struct.Struct("<IIBBHQQQQ8s")  # block, documents, planes, bit or byte, version, ids, documents at, index at, end, magic
 NO_ID = -(1 << 63)
 
 
 def to_planes(ids: np.ndarray, planes: int, bits: bool = True) -> list[bytes]:
     """The planes of one block; ``ids`` are below 2**planes, or 256**planes."""
-    if bits:
-        return [np.packbits((ids >> np.uint32(p) & np.uint32(1)).astype(np.uint8), bitorder="little").tobytes() for p in range(planes)]
     raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return [raw[:, p].tobytes() for p in range(planes)]
+    if not bits:
+        return [raw[:, p].tobytes() for p in range(planes)]
+    lanes = [raw[:, i].copy() for i in range((planes + 7) // 8)]
+    return [np.packbits(lanes[p // 8] >> np.uint8(p % 8) & np.uint8(1), bitorder="little").tobytes() for p in range(planes)]
 
 
 def from_planes(planes: list[bytes], n: int, bits: bool = True) -> np.ndarray:
-    out = np.zeros(n, np.uint32)
-    for p, plane in enumerate(planes):
-        raw = np.frombuffer(plane, np.uint8)
-        part = np.unpackbits(raw, count=n, bitorder="little") if bits else raw
-        out |= part.astype(np.uint32) << np.uint32(p if bits else 8 * p)
-    return out
+    out = np.zeros((n, 4), np.uint8)
+    for i in range((len(planes) + 7) // 8 if bits else len(planes)):
+        if bits:
+            lane = np.zeros(n, np.uint8)
+            for p, plane in enumerate(planes[8 * i : 8 * i + 8]):
+                lane |= np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little") << np.uint8(p)
+        else:
+            lane = np.frombuffer(planes[i], np.uint8)
+        out[:, i] = lane
+    return out.view("<u4").reshape(-1)
 
 
 class Writer:
@@ -62,6 +67,8 @@ class Writer:
         out.write(MAGIC)
 
     def _flush(self, ids: np.ndarray) -> None:
+        if int(ids.max()) >> (self.planes if self.bits else 8 * self.planes):
+            raise ValueError("an id does not fit the planes")
         frames = [self.press.compress(p) for p in to_planes(ids, self.planes, self.bits)]
         self.index.append((self.at, len(ids), *map(len, frames)))
         for f in frames:
@@ -69,8 +76,6 @@ class Writer:
             self.at += len(f)
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
-        if len(ids) and int(ids.max()) >> (self.planes if self.bits else 8 * self.planes):
-            raise ValueError("an id does not fit the planes")
         self.docs.append((doc_id, len(ids)))
         self.total += len(ids)
         self.held.append(ids)
@@ -136,37 +141,52 @@ class Reader:
             held = held[n:]
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself where it has one, else from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder(dict):
-    """Ids by the tokenizers library. Its byte-level BPE treats pre-tokens apart, so each distinct one is encoded once; as a dict, the
-    bounded cache, of two generations, from pre-token to the bytes of its ids."""
+    """Ids by the tokenizers library, for a byte-level BPE. It treats pre-tokens apart, so each distinct one is encoded once;
+    as a dict, this is the bounded cache, of two generations, from pre-token to the bytes of its ids.
+
+    Pre-tokens are cut here by the vocabulary's pattern and handed to the library in its byte alphabet, many in one text with
+    line breaks between them: a line break is then always a token of its own.
+    """
 
     def __init__(self, definition: str, pattern: str):
         super().__init__()
         self.old: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
+        self.alphabet = byte_alphabet()
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.tokenizer.pre_tokenizer = Split(self.alphabet[10], "isolated")
+        self.line_break = self.tokenizer.token_to_id(self.alphabet[10])
         self.cut = Splitter(pattern)
 
+    def shown(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.alphabet)
+
     def learn(self, pieces: list[str]) -> None:
-        """Encodes new pre-tokens, many in one text of lines: a line break between two of them is always a token of its own."""
+        """Encodes new pre-tokens."""
         lines = [p for p in pieces if not p.isspace()]
         for at in range(0, len(lines), 4096):
             some = lines[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.shown("\n".join(some))], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.line_break)
             if len(cuts) == len(some) - 1:
-                raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                start = 0
-                for piece, end in zip(some, ends, strict=True):
-                    self[piece] = raw[start:end]
-                    start = end + 4
+                raw, ends = ids.tobytes(), (4 * cuts).tolist()
+                spans = map(slice, [0, *(4 * cuts + 4).tolist()], [*ends, len(raw)])
+                self.update(zip(some, map(raw.__getitem__, spans), strict=True))
         for p in pieces:  # white space, and lines that did not come apart
             if p not in self:
-                self[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                self[p] = np.array([t.id for t in self.tokenizer.model.tokenize(self.shown(p))], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         pieces = [self.cut(t) for t in texts]
@@ -209,7 +229,7 @@ def write(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int
         with fs.open_output_stream(own) as out:
             made = Writer(out, planes, bits)
             for whole in batches:
-                for batch in slices(whole, "text", 1 << 20):
+                for batch in slices(whole, "text", 4 << 20):
                     ids = _encoder(shared).encode([t or "" for t in batch.column(1).to_pylist()])
                     for doc_id, x in zip(batch.column(0).to_pylist(), ids, strict=True):
                         made.add(NO_ID if doc_id is None else doc_id, np.append(x, np.uint32(end_id)))
