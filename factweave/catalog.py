@@ -39,10 +39,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_acctbal > 0
-    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)""")
+    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)""")
 def unreferenced_declarations(spark: SparkSession, d: str) -> DataFrame:
     """Customers (declarations) without a large order (reference); one segment is exempt."""
-    refs = read(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    refs = read(spark, d, "orders").filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     decls = read(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name", "c_mktsegment")
     return references.unreferenced(decls, refs, "c_custkey", F.col("c_mktsegment") == "MACHINERY").select("c_custkey", "c_name")
 
