@@ -2,7 +2,9 @@
 
 Centroids and code books are fitted on a sample of at most ``sample`` vectors; every vector is indexed. A query visits the
 ``probes`` lists nearest to it; per list, distances come from a table of its residual against the code books (asymmetric: the
-query is not quantised). The best candidates are ranked again by exact distances on the original vectors.
+query is not quantised). With the residual's norm, which is stored beside the code, that distance bounds the true one from both
+sides: every row whose lower bound is not above the k-th smallest upper bound is ranked by its exact distance, so that within the
+lists visited nothing near is lost, however many rows share a code.
 
 Vectors that are null, zero, of another length than the sample's first, or that hold null or non-finite components take no
 part, nor do rows with a null ``vec_id``. ``vec_id`` is a key: rows that repeat one count once. Extra columns are ignored.
@@ -17,12 +19,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factweave.llm.store import outlive
 
 LISTS, PROBES, PARTS, SAMPLE = 256, 160, 16, 20_000
-BLOCK, QUERY_BLOCK, PER_BLOCK, RERANK = 8192, 256, 40, 200
+BLOCK, QUERY_BLOCK = 8192, 256
 
 
 def _nearest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -55,9 +58,13 @@ class Index:
     def _cut(self, rows: np.ndarray) -> np.ndarray:
         return rows.reshape(len(rows), self.parts, -1).swapaxes(0, 1)
 
-    def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, and the distance of each row to what its code stands for."""
         own = _nearest(rows, self.centers).argmin(1)
-        return own, np.stack([_nearest(p, b).argmin(1) for p, b in zip(self._cut(rows - self.centers[own]), self.books, strict=True)], 1).astype(np.uint8)
+        parts = self._cut(rows - self.centers[own])
+        codes = np.stack([_nearest(p, b).argmin(1) for p, b in zip(parts, self.books, strict=True)], 1)
+        missed = sum(((p - b[c]) ** 2).sum(1) for p, b, c in zip(parts, self.books, codes.T, strict=True))
+        return own, codes.astype(np.uint8), np.sqrt(missed)
 
     def probes(self, rows: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(_nearest(rows, self.centers), axis=1, kind="stable")[:, :n]
@@ -80,6 +87,27 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
+def _raw(rows: np.ndarray, kind: str) -> pa.Array:
+    raw, m = rows.astype(kind).tobytes(), rows.shape[1] * np.dtype(kind).itemsize
+    return pa.array([raw[i : i + m] for i in range(0, len(raw), m)], pa.binary())
+
+
+def _closest(index: Index, which: int, query_id: int, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, missed: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact distances of the ``k`` rows nearest to ``q`` in a block of list ``which``, by distance and id; ``ids`` ascend."""
+    guess = np.sqrt(index.distances(q, which, codes))
+    upper, once = guess + missed, np.append(True, ids[1:] != ids[:-1]) & (ids != query_id)
+    able = ids != query_id
+    if once.sum() > k:  # a not-a-number is no reason to drop a row
+        limit = np.partition(upper[once], k - 1)[k - 1]
+        able &= ~(guess - missed > limit + 1e-9 * (limit + np.sqrt((q**2).sum())))
+    near = np.flatnonzero(able)
+    exact = np.sqrt(((rows[near] - q) ** 2).sum(1))
+    order = np.lexsort((ids[near], exact))
+    near, exact = ids[near][order], exact[order]
+    first = np.sort(np.unique(near, return_index=True)[1])[:k]
+    return near[first], exact[first]
+
+
 def search(vectors: DataFrame, every: int = 100, k: int = 10, lists: int = LISTS, probes: int = PROBES, parts: int = PARTS, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance): the ``k`` nearest found of each row whose vec_id ``every`` divides."""
     spark = vectors.sparkSession
@@ -92,12 +120,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, lists: int = LISTS
     shared = spark.sparkContext.broadcast(fitted)
     rows = rows.filter(F.size("v") == dim)
 
+    held = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, codes = shared.value.encode(_matrix(batch.column(1)))
-                raw, m = codes.tobytes(), codes.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(0), pa.array([raw[i : i + m] for i in range(0, len(raw), m)], pa.binary())], names=["list", "vec_id", "code"])
+                v = _matrix(batch.column(1))
+                own, codes, missed = shared.value.encode(v)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(0), _raw(codes, "u1"), pa.array(missed, pa.float64()), _raw(v, held)], names=["list", "vec_id", "code", "missed", "v"])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,37 +136,33 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, lists: int = LISTS
                 pick = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1), pa.int32()), batch.column(0).take(pick), batch.column(1).take(pick)], names=["list", "query_id", "q"])
 
-    index = outlive(rows.mapInArrow(coded, "list int, vec_id long, code binary"), "index")
+    index = outlive(rows.mapInArrow(coded, "list int, vec_id long, code binary, missed double, v binary"), "index")
     queries = rows.filter(F.col("vec_id") % every == 0)
     visited = queries.mapInArrow(visits, "list int, query_id long, q array<double>")
+    block = max(1, min(BLOCK, BLOCK * 64 // dim))  # rows of a cell; fewer of long vectors
     # lists are few (at most ``lists``); long ones are cut in blocks, and so are the queries that visit a list
-    n_rows = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("across"))
+    n_rows = index.groupBy("list").agg(F.ceil(F.count("*") / block).alias("across"))
     n_queries = visited.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("down"))
     shape = F.broadcast(spark.createDataFrame(n_rows.join(n_queries, "list").collect(), "list int, across long, down long"))
-    dealt = index.join(shape, "list").select("list", "vec_id", "code", F.pmod(F.xxhash64("vec_id"), "across").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"))
+    dealt = index.join(shape, "list").select("list", "vec_id", "code", "missed", "v", F.pmod(F.xxhash64("vec_id"), "across").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"))
     asked = visited.join(shape, "list").select("list", "query_id", "q", F.pmod(F.xxhash64("query_id"), "down").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("c"))
 
     def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "guess": []}
+        out = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            ids = left["vec_id"].to_numpy()
+            left = left.sort_values("vec_id", kind="stable")
+            ids, missed = left["vec_id"].to_numpy(), left["missed"].to_numpy()
             codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(ids), -1)
-            order = np.argsort(ids, kind="stable")
-            ids, codes = ids[order], codes[order]
+            own = np.frombuffer(b"".join(left["v"]), held).reshape(len(ids), -1).astype(float)
             for query_id, q in zip(right["query_id"], right["q"], strict=True):
-                guess = shared.value.distances(np.asarray(q), int(key[0]), codes)
-                best = np.argsort(guess, kind="stable")[: PER_BLOCK + 1]
-                best = best[ids[best] != query_id][:PER_BLOCK]
-                out["query_id"].append(np.full(len(best), query_id))
-                out["vec_id"].append(ids[best])
-                out["guess"].append(guess[best])
-        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, "f8" if c == "guess" else "i8") for c, x in out.items()})
-
-    found = dealt.groupBy("list", "r", "c").cogroup(asked.groupBy("list", "r", "c")).applyInPandas(cell, "query_id long, vec_id long, guess double")
-    best = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("guess", "vec_id"))).filter(F.col("place") <= RERANK)
-    exact = best.select("query_id", "vec_id").distinct().join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    score = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    scored = exact.select("query_id", "vec_id", score.alias("score")).dropDuplicates(["query_id", "vec_id"])
+                near, exact = _closest(shared.value, int(key[0]), query_id, np.asarray(q), ids, codes, missed, own, k)
+                out["query_id"].append(np.full(len(near), query_id))
+                out["vec_id"].append(near)
+                out["score"].append(exact)
+        return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, "f8" if c == "score" else "i8") for c, x in out.items()})
+
+    found = dealt.groupBy("list", "r", "c").cogroup(asked.groupBy("list", "r", "c")).applyInPandas(cell, "query_id long, vec_id long, score double")
+    scored = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return (
         scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
         .filter(F.col("rank") <= k)

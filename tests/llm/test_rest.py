@@ -60,6 +60,26 @@ def test_search_in_blocks(spark, monkeypatch):
     assert got.query_id.nunique() == 12
 
 
+def test_search_finds_near_copies_in_groups_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    made = [rng.normal(size=(4000, 64))]
+    for n in (100, 300, 1000, 5000):
+        made.append(rng.normal(size=64) + 0.01 * rng.normal(size=(n, 64)))
+    v = np.concatenate(made)
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("f4").astype(float)
+    group = np.repeat(np.arange(5), [len(x) for x in made])
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    got = ann.search(table, every=50, lists=16, probes=16).toPandas()
+    hits = {g: [] for g in range(1, 5)}
+    for q, part in got.groupby("query_id"):
+        if group[q]:
+            d = np.sqrt(((v - v[q]) ** 2).sum(1))
+            d[q] = np.inf
+            hits[group[q]].append(len(set(part.vec_id) & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
+    recall = {g: np.mean(x) for g, x in hits.items()}
+    assert {g: len(x) for g, x in hits.items()} == {1: 2, 2: 6, 3: 20, 4: 100} and min(recall.values()) == 1, recall
+
+
 def test_severity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fit, held = labels.randomSplit([0.7, 0.3], seed=1)
