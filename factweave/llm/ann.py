@@ -6,8 +6,8 @@ query is not quantised). With the residual's norm, which is stored beside the co
 sides: every row whose lower bound is not above the k-th smallest upper bound is ranked by its exact distance, so that within the
 lists visited nothing near is lost, however many rows share a code.
 
-Vectors that are null, zero, of another length than the sample's first, or that hold null or non-finite components take no
-part, nor do rows with a null ``vec_id``. ``vec_id`` is a key: rows that repeat one count once. Extra columns are ignored.
+Vectors that are null, zero, or that hold null or non-finite components take no part, nor do rows with a null ``vec_id``.
+Vectors of each length are a search of their own. ``vec_id`` is a key: rows that repeat one count once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,8 +84,13 @@ def valid(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """Of the rows (vec_id, v) of each length: it, the rows, and their vectors as a matrix."""
+    for batch in batches:
+        lengths = batch.column(1).value_lengths()
+        for dim in lengths.unique().to_pylist():
+            own = batch.filter(pc.equal(lengths, dim))
+            yield dim, own, np.asarray(own.column(1).flatten()).reshape(-1, dim)
 
 
 def _raw(rows: np.ndarray, kind: str) -> pa.Array:
@@ -112,40 +118,40 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, lists: int = LISTS
     """query_id, rank, vec_id, score (Euclidean distance): the ``k`` nearest found of each row whose vec_id ``every`` divides."""
     spark = vectors.sparkSession
     rows = valid(vectors)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"].tolist()
-    if not drawn:
+    per_length = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked"))
+    dims = sorted(r["dim"] for r in per_length.filter("n > 1 and asked > 0").collect())
+    if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(drawn[0])
-    fitted = Index(np.array([v for v in drawn if len(v) == dim]), lists, parts)
-    shared = spark.sparkContext.broadcast(fitted)
-    rows = rows.filter(F.size("v") == dim)
 
+    def drawn(dim: int) -> np.ndarray:
+        return np.array(rows.filter(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"].tolist())
+
+    shared = spark.sparkContext.broadcast({dim: Index(drawn(dim), lists, parts) for dim in dims})
+    rows = rows.filter(F.size("v").isin(dims))
     held = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = _matrix(batch.column(1))
-                own, codes, missed = shared.value.encode(v)
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), batch.column(0), _raw(codes, "u1"), pa.array(missed, pa.float64()), _raw(v, held)], names=["list", "vec_id", "code", "missed", "v"])
+        for dim, own, v in _by_length(batches):
+            which, codes, missed = shared.value[dim].encode(v)
+            columns = [pa.array(np.full(len(v), dim, "i4")), pa.array(which, pa.int32()), own.column(0), _raw(codes, "u1"), pa.array(missed, pa.float64()), _raw(v, held)]
+            yield pa.RecordBatch.from_arrays(columns, names=["dim", "list", "vec_id", "code", "missed", "v"])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                near = shared.value.probes(_matrix(batch.column(1)), probes)
-                pick = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1), pa.int32()), batch.column(0).take(pick), batch.column(1).take(pick)], names=["list", "query_id", "q"])
+        for dim, own, v in _by_length(batches):
+            near = shared.value[dim].probes(v, probes)
+            pick = pa.array(np.repeat(np.arange(len(v)), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(near.size, dim, "i4")), pa.array(near.reshape(-1), pa.int32()), own.column(0).take(pick), own.column(1).take(pick)], names=["dim", "list", "query_id", "q"])
 
-    index = outlive(rows.mapInArrow(coded, "list int, vec_id long, code binary, missed double, v binary"), "index")
+    index = outlive(rows.mapInArrow(coded, "dim int, list int, vec_id long, code binary, missed double, v binary"), "index")
     queries = rows.filter(F.col("vec_id") % every == 0)
-    visited = queries.mapInArrow(visits, "list int, query_id long, q array<double>")
-    block = max(1, min(BLOCK, BLOCK * 64 // dim))  # rows of a cell; fewer of long vectors
-    # lists are few (at most ``lists``); long ones are cut in blocks, and so are the queries that visit a list
-    n_rows = index.groupBy("list").agg(F.ceil(F.count("*") / block).alias("across"))
-    n_queries = visited.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("down"))
-    shape = F.broadcast(spark.createDataFrame(n_rows.join(n_queries, "list").collect(), "list int, across long, down long"))
-    dealt = index.join(shape, "list").select("list", "vec_id", "code", "missed", "v", F.pmod(F.xxhash64("vec_id"), "across").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"))
-    asked = visited.join(shape, "list").select("list", "query_id", "q", F.pmod(F.xxhash64("query_id"), "down").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("c"))
+    visited = queries.mapInArrow(visits, "dim int, list int, query_id long, q array<double>")
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK * 64) / F.col("dim"))))  # rows of a cell; fewer of long vectors
+    # lists are few (at most ``lists`` a length); long ones are cut in blocks, and so are the queries that visit a list
+    n_rows = index.groupBy("dim", "list").agg(F.count("*").alias("n")).select("dim", "list", F.ceil(F.col("n") / block).alias("across"))
+    n_queries = visited.groupBy("dim", "list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("down"))
+    shape = F.broadcast(spark.createDataFrame(n_rows.join(n_queries, ["dim", "list"]).collect(), "dim int, list int, across long, down long"))
+    dealt = index.join(shape, ["dim", "list"]).select("dim", "list", "vec_id", "code", "missed", "v", F.pmod(F.xxhash64("vec_id"), "across").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"))
+    asked = visited.join(shape, ["dim", "list"]).select("dim", "list", "query_id", "q", F.pmod(F.xxhash64("query_id"), "down").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("c"))
 
     def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -155,13 +161,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, lists: int = LISTS
             codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(ids), -1)
             own = np.frombuffer(b"".join(left["v"]), held).reshape(len(ids), -1).astype(float)
             for query_id, q in zip(right["query_id"], right["q"], strict=True):
-                near, exact = _closest(shared.value, int(key[0]), query_id, np.asarray(q), ids, codes, missed, own, k)
+                near, exact = _closest(shared.value[int(key[0])], int(key[1]), query_id, np.asarray(q), ids, codes, missed, own, k)
                 out["query_id"].append(np.full(len(near), query_id))
                 out["vec_id"].append(near)
                 out["score"].append(exact)
         return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, "f8" if c == "score" else "i8") for c, x in out.items()})
 
-    found = dealt.groupBy("list", "r", "c").cogroup(asked.groupBy("list", "r", "c")).applyInPandas(cell, "query_id long, vec_id long, score double")
+    found = dealt.groupBy("dim", "list", "r", "c").cogroup(asked.groupBy("dim", "list", "r", "c")).applyInPandas(cell, "query_id long, vec_id long, score double")
     scored = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return (
         scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))

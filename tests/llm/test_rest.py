@@ -80,6 +80,15 @@ def test_search_finds_near_copies_in_groups_of_any_size(spark):
     assert {g: len(x) for g, x in hits.items()} == {1: 2, 2: 6, 3: 20, 4: 100} and min(recall.values()) == 1, recall
 
 
+def test_search_takes_vectors_of_each_length_apart(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i % 3 else 3)]) for i in range(90)] + [(95, [1.0] * 7)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=5, k=3, lists=4, probes=4).toPandas()
+    for q, part in got.groupby("query_id"):
+        assert list(part.sort_values("rank").vec_id) == [i for _, i in exact([(i, x) for i, x in rows if len(x) == len(rows[q][1])], q, 3)]
+    assert set(got.query_id) == set(range(0, 90, 5))
+
+
 def test_severity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fit, held = labels.randomSplit([0.7, 0.3], seed=1)
