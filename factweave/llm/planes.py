@@ -12,7 +12,9 @@ endian. Blocks can be read alone. Files are numbered in document order.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -153,10 +155,11 @@ class Encoder(dict):
     as a dict, this is the bounded cache, of two generations, from pre-token to the bytes of its ids.
 
     Pre-tokens are cut here by the vocabulary's pattern and handed to the library in its byte alphabet, many in one text with
-    line breaks between them: a line break is then always a token of its own.
+    line breaks between them: a line break is then always a token of its own. With ``special``, texts are first split at the
+    definition's added tokens, which become their ids, as the library does when loaded; else those strings are ordinary text.
     """
 
-    def __init__(self, definition: str, pattern: str):
+    def __init__(self, definition: str, pattern: str, special: bool = False):
         super().__init__()
         self.old: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -169,13 +172,24 @@ class Encoder(dict):
         self.tokenizer.pre_tokenizer = Split(self.alphabet[10], "isolated")
         self.line_break = self.tokenizer.token_to_id(self.alphabet[10])
         self.cut = Splitter(pattern)
+        added = json.loads(definition).get("added_tokens") or [] if special else []
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that reach beyond their own text are not supported")
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        self.mark = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})")
+
+    def pieces(self, text: str) -> list[str]:
+        if not self.added or not self.mark.search(text):
+            return self.cut(text)
+        return list(chain.from_iterable([p] if p in self.added else self.cut(p) for p in self.mark.split(text) if p))
 
     def shown(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(self.alphabet)
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes new pre-tokens."""
-        lines = [p for p in pieces if not p.isspace()]
+        self.update((p, self.added[p]) for p in pieces if p in self.added)
+        lines = [p for p in pieces if p not in self.added and not p.isspace()]
         for at in range(0, len(lines), 4096):
             some = lines[at : at + 4096]
             ids = np.array(self.tokenizer.encode_batch_fast([self.shown("\n".join(some))], add_special_tokens=False)[0].ids, "<u4")
@@ -189,7 +203,7 @@ class Encoder(dict):
                 self[p] = np.array([t.id for t in self.tokenizer.model.tokenize(self.shown(p))], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self.cut(t) for t in texts]
+        pieces = [self.pieces(t) for t in texts]
         new = set(chain.from_iterable(pieces)).difference(self)
         known = new & self.old.keys()
         self.update(zip(known, map(self.old.__getitem__, known), strict=True))
@@ -207,14 +221,14 @@ _encoders: dict[int, Encoder] = {}
 def _encoder(shared) -> Encoder:
     key = zlib.crc32(shared.value[0].encode())
     if key not in _encoders:
-        _encoders[key] = Encoder(*shared.value)
+        _encoders[key] = Encoder(*shared.value, special=True)
     return _encoders[key]
 
 
 def write(docs: DataFrame, path: str, definition: str, pattern: str, end_id: int = 0, planes: int = 16, bits: bool = True) -> list[tuple[str, int, int]]:
     """Writes ids of ``docs`` (doc_id, text), each document closed by ``end_id``, in ascending doc_id order, nulls last.
 
-    A null text is empty. Rows that repeat are written each. Returns (file, documents, ids) in order. A file appears under its
+    A null text is empty; strings of the definition's added tokens become those tokens. Rows that repeat are written each. Returns (file, documents, ids) in order. A file appears under its
     final name only when whole, so a task that runs again does no harm.
     """
     shared = docs.sparkSession.sparkContext.broadcast((definition, pattern))

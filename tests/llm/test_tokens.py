@@ -122,6 +122,17 @@ def test_plane_query_equals_the_library(spark):
         at += len(ids)
 
 
+def test_special_tokens_in_texts_equal_the_library_as_loaded(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    definition, lib, end = open(path, encoding="utf-8").read(), Tokenizer.from_file(path), "<|endoftext|>"
+    texts = [*ODD, f"a {end} b", end, end * 3, f"  {end}  {end}\n\n x", f"<|{end}|>", "<|endoftext|", f"{end}\n{'zq' * 50}{end}"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert lib.token_to_id(end) in want[len(ODD)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(planes.round_trip(docs, definition, public_tokenizers.PATTERN).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for x in want]
+
+
 def test_planes_of_odd_tables(spark):
     definition = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
     docs = spark.createDataFrame([(2, None, 1), (None, "z", 1), (1, "", 1), (1, "", 1)], "doc_id long, text string, start int")
