@@ -1,7 +1,7 @@
 """Cross-document line frequency: boilerplate lines of a host go, and documents that consist of them are rejected.
 
 Null text is an empty document; a null source is a host of its own; a null ``doc_id`` passes through. Every row counts as
-one document, so repeated rows count repeatedly. Other input columns are ignored.
+one document, so repeated rows count repeatedly. Other input columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.llm.store import keep, outlive, redealt, tidy
+from factweave.llm.store import keep, named, outlive, redealt, rewritten, spare, tidy
 from factweave.llm.wordhash import SPACE, Words, mix, per_doc, rolling, slices
 
 SYMBOL = np.zeros(256, bool)
@@ -131,10 +131,10 @@ def judge(
         return outlive(verdict, "verdicts")
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The last two columns are the host and the lines that go; the others come out, the text without those lines."""
     for batch in batches:
-        at = {name: i for i, name in enumerate(batch.schema.names)}
-        texts, hosts, gone = (batch.column(at[c]).to_pylist() for c in ("text", "__host", "__gone"))
+        texts, hosts, gone = (batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1))
         out = []
         for text, host, lines in zip(texts, hosts, gone, strict=True):
             if lines and text:
@@ -147,20 +147,14 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         left.append(line)
                 text = "\n".join(left)
             out.append(text)
-        columns = [pa.array(out, pa.string()) if name == "text" else batch.column(i) for name, i in at.items() if not name.startswith("__")]
-        yield pa.RecordBatch.from_arrays(columns, names=[name for name in at if not name.startswith("__")])
+        yield batch.select(list(range(batch.num_columns - 2))).set_column(at, batch.schema.names[at], pa.array(out, pa.string()))
 
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The kept documents, all columns of ``docs``, without their lines above the limit; ``n_chars`` follows the text."""
-    verdict = (
-        judge(docs, **limits)
-        .filter("kept")
-        .groupBy("doc_id", "host", "text_hash")
-        .agg(F.first("removed_lines").alias("__gone"))
-        .select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__hash"), "__gone")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__host")) & (F.xxhash64("text") == F.col("__hash"))
-    found = docs.join(verdict, same).select(*docs.columns, "__host", "__gone")
-    out = found.mapInArrow(_without, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    doc, host, text_hash, gone = spare(docs, "id", "host", "hash", "gone")
+    verdict = judge(docs, **limits).filter("kept").groupBy("doc_id", "host", "text_hash").agg(F.first("removed_lines").alias(gone))
+    verdict = verdict.select(F.col("doc_id").alias(doc), F.col("host").alias(host), F.col("text_hash").alias(text_hash), gone)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(host)) & (F.xxhash64("text") == F.col(text_hash))
+    found = docs.join(verdict, same).select(*named(docs), host, gone)
+    return rewritten(docs, found, _without)

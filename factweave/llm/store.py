@@ -7,11 +7,13 @@ import os
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +85,38 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(df: DataFrame) -> list[Column]:
+    """All columns of ``df`` by name, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names`` for helper columns, with a prefix that no column of ``df`` has."""
+    prefix, taken = "_", [c.lower() for c in df.columns]
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
+def rewritten(docs: DataFrame, found: DataFrame, run: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The columns of ``docs`` as ``run`` makes them of ``found``, which has helper columns after them. ``run`` gets batches and
+    the place of ``text``; names do not reach it. ``n_chars``, where there is one, follows the text."""
+    at = docs.columns.index("text")
+    plain = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    out = plain.mapInArrow(lambda batches: run(batches, at), schema).toDF(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def one_each(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """Of the rows of each key the one whose columns hash least, so that reruns agree. Rows of a key come together map side."""
+    helpers = spare(df, *(f"k{i}" for i in range(len(keys))), "row")
+    hashed = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(named(df), df.schema, strict=True)]
+    whole = df.select(*[(F.col(k) if isinstance(k, str) else k).alias(h) for k, h in zip(keys, helpers, strict=False)], F.struct(*named(df)).alias(helpers[-1]), F.xxhash64(*hashed).alias(helpers[-1] + "h"))
+    best = whole.groupBy(*helpers[:-1]).agg(F.min_by(helpers[-1], helpers[-1] + "h").alias(helpers[-1]))
+    return best.select(f"`{helpers[-1]}`.*")
+
+
 def redealt(key: str) -> Column:
     """A long key under its own name as an expression of its own: a join then deals this aggregated side anew instead of
     using the aggregate's exchange, both sides stand alone, and adaptive execution can split a hot key."""

@@ -55,3 +55,10 @@ def test_repeated_rows_each_count(spark):
     text = " ".join(f"w{k}" for k in range(60))
     docs = spark.createDataFrame([(1, text, "h", "x", 1)] * 3, SCHEMA)
     assert quality.judge(docs).filter("kept").count() == 3 and quality.clean(docs).count() == 3
+
+
+def test_columns_of_any_name_pass_through(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "h", "x", 1, "y")], "doc_id long, text string, source string, __note string, _gone int, `a.b` string")
+    (row,) = quality.clean(docs).collect()
+    assert tuple(row) == (1, text, "h", "x", 1, "y") and list(row.asDict()) == docs.columns
