@@ -1,8 +1,10 @@
 """Multi-party chats, rendered once from the perspective of each participant, in native expressions only.
 
-Turns order by ``turn``, then role and text; null turns come first. A conversation is rendered in parts of ``part`` turn numbers, so that none
-grows without bound; its parts in order are the whole dialogue. Every role but the system's is a participant; a null role is
-the participant ``unknown``, a null text an empty one, a null ``conv_id`` a conversation. Repeated rows are turns of their own.
+Turns order by ``turn``, then role and text; null turns come first. Every role but the system's is a participant; a null role is
+the participant ``unknown``, a null text an empty one, a null ``conv_id`` a conversation. Repeated rows are turns of their own;
+a conversation without participants gives no row, and extra columns are ignored. A dialogue is one row a participant, however long.
+
+Marks cannot be forged: in texts and names ``<|`` is written ``<\\|``, and in names also ``|>`` as ``\\|>``.
 """
 
 from __future__ import annotations
@@ -10,28 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PART, SYSTEM, UNKNOWN = 64, "system", "unknown"
+SYSTEM, UNKNOWN = "system", "unknown"
+
+
+def _plain(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("<\\|"))
 
 
 def _head(role: Column, speaker: Column) -> Column:
     return (
         F.when(role == speaker, F.lit("<|assistant|>\n"))
         .when(role == SYSTEM, F.lit("<|system|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), role, F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), F.replace(_plain(role), F.lit("|>"), F.lit("\\|>")), F.lit("|>\n")))
     )
 
 
-def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
-    """conv_id, speaker, part, n_turns, rendered, spans (start and end, in characters, of what the speaker says, end mark included)."""
+def perspectives(turns: DataFrame) -> DataFrame:
+    """conv_id, speaker, n_turns, rendered, spans (start and end, in characters, of what the speaker says, end mark included)."""
     said = turns.select(
         "conv_id",
-        F.coalesce(F.floor(F.col("turn") / part), F.lit(-1)).cast("long").alias("part"),
         F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(UNKNOWN)).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
-    people = said.filter(F.col("t.role") != SYSTEM).groupBy("conv_id").agg(F.sort_array(F.collect_set("t.role")).alias("people")).withColumnRenamed("conv_id", "of")
-    parts = said.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    seen = parts.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", "part", "turns", F.explode("people").alias("speaker"))
-    pieces = F.transform("turns", lambda t: F.struct(_head(t["role"], F.col("speaker")).alias("head"), F.concat(t["text"], F.lit("<|end|>\n")).alias("body"), (t["role"] == F.col("speaker")).alias("own")))
+    whole = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    people = F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM))
+    seen = whole.select("conv_id", "turns", F.explode(people).alias("speaker"))
+    pieces = F.transform("turns", lambda t: F.struct(_head(t["role"], F.col("speaker")).alias("head"), F.concat(_plain(t["text"]), F.lit("<|end|>\n")).alias("body"), (t["role"] == F.col("speaker")).alias("own")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
     def step(state: Column, piece: Column) -> Column:
@@ -44,7 +49,6 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
     return made.select(
         "conv_id",
         "speaker",
-        "part",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"),
         F.aggregate("pieces", start, step, lambda s: s["spans"]).alias("spans"),

@@ -87,19 +87,20 @@ def op4_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chat.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",")
-    return made.select("conv_id", "speaker", "part", "n_turns", "rendered", spans.alias("spans"))
+    return made.select("conv_id", "speaker", "n_turns", "rendered", spans.alias("spans"))
 
 
-SQL["op5_perspectives"] = """
-WITH t AS (SELECT conv_id, coalesce(turn // 64, -1)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+SQL["op5_perspectives"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-r AS (SELECT t.conv_id, speaker, part, turn, role, text, role = speaker AS own,
-    CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
-    text || '<|end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (SELECT *, sum(length(head) + length(body)) OVER w AS upto FROM r WINDOW w AS (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, speaker, part, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY upto) AS rendered,
+r AS (SELECT t.conv_id, speaker, turn, role, text, role = speaker AS own,
+    CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+        ELSE '<|user name=' || replace(replace(role, '<|', '<\|'), '|>', '\|>') || '|>' END || chr(10) AS head,
+    replace(text, '<|', '<\|') || '<|end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, sum(length(head) + length(body)) OVER w AS upto FROM r WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, speaker, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY upto) AS rendered,
     coalesce(string_agg((upto - length(body))::BIGINT || '-' || (upto - 1)::BIGINT, ',' ORDER BY upto) FILTER (WHERE own), '') AS spans
-FROM o GROUP BY conv_id, speaker, part
+FROM o GROUP BY conv_id, speaker
 """
 
 
@@ -115,7 +116,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op7_mix"] = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WORD}))::BIGINT AS size,
-    ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS key FROM documents),
+    ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
 r AS (SELECT *, 3 * n::DOUBLE / w AS ratio FROM s),
 c AS (SELECT x.source, x.n, x.w, (sum(y.n) - coalesce(sum(3 * y.n) FILTER (WHERE y.ratio < x.ratio), 0))::BIGINT AS rest,
