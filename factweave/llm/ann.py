@@ -1,10 +1,14 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and code books are fitted on a sample of at most ``sample`` vectors; every vector is indexed. A query visits the
-``probes`` lists nearest to it; per list, distances come from a table of its residual against the code books (asymmetric: the
-query is not quantised). With the residual's norm, which is stored beside the code, that distance bounds the true one from both
-sides: every row whose lower bound is not above the k-th smallest upper bound is ranked by its exact distance, so that within the
-lists visited nothing near is lost, however many rows share a code.
+Centroids and code books are fitted on a sample of at most ``sample`` vectors; every vector is indexed. A query visits the lists
+nearest to it. How many, is measured: for at most HELD_OUT vectors that are not in the sample the exact neighbours among all rows
+are found in one pass, and as many lists are visited as give them the recall ``target``. Lists that hold too few rows for an
+answer are no end: a query goes on until it has ``k`` rows.
+
+In the lists visited, distances come from one table a query of its parts against the code books (asymmetric: the query is not
+quantised). With the residual's norm, which is stored beside the code, that distance bounds the true one from both sides: every
+row whose lower bound is not above the k-th smallest upper bound is ranked by its exact distance, so that nothing near is lost,
+however many rows share a code.
 
 Vectors that are null, zero, or that hold null or non-finite components take no part, nor do rows with a null ``vec_id``.
 Vectors of each length are a search of their own. ``vec_id`` is a key: rows that repeat one count once. Extra columns are ignored.
@@ -12,6 +16,7 @@ Vectors of each length are a search of their own. ``vec_id`` is a key: rows that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +30,8 @@ from pyspark.sql.window import Window
 
 from factweave.llm.store import outlive
 
-LISTS, PROBES, PARTS, SAMPLE = 256, 160, 16, 20_000
-BLOCK, QUERY_BLOCK = 8192, 256
+PARTS, SAMPLE, SAMPLE_VALUES, TARGET, HELD_OUT = 16, 20_000, 1 << 23, 0.95, 256
+BLOCK, LEAST_BLOCK = 8192, 256  # rows of a cell: most, fewer of long vectors, and least; queries of a cell: most
 
 
 def _nearest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -48,33 +53,39 @@ def kmeans(rows: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> n
 class Index:
     """Coarse centroids and, for each part of the residual, a code book of up to 256 entries."""
 
-    def __init__(self, rows: np.ndarray, lists: int = LISTS, parts: int = PARTS, seed: int = 7):
+    def __init__(self, rows: np.ndarray, lists: int, parts: int = PARTS, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.dim = rows.shape[1]
         self.parts = next(p for p in range(min(parts, self.dim), 0, -1) if self.dim % p == 0)
         self.centers = kmeans(rows, min(lists, len(rows)), 12, rng)
-        residual = rows - self.centers[_nearest(rows, self.centers).argmin(1)]
+        residual = rows - self.centers[self.lists(rows)]
         self.books = np.stack([kmeans(part, min(256, len(rows)), 8, rng) for part in self._cut(residual)])
+        self.reach = math.sqrt((self.centers**2).sum(1).max()) + math.sqrt((self.books**2).sum(2).max(1).sum())
 
     def _cut(self, rows: np.ndarray) -> np.ndarray:
         return rows.reshape(len(rows), self.parts, -1).swapaxes(0, 1)
 
-    def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lists, codes, and the distance of each row to what its code stands for."""
-        own = _nearest(rows, self.centers).argmin(1)
+    def lists(self, rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([_nearest(part, self.centers).argmin(1) for part in np.array_split(rows, max(1, len(rows) // 4096))])
+
+    def encode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, the distance of each row to what its code stands for, and the part of a squared distance that hangs
+        on list and code alone."""
+        own = self.lists(rows)
         parts = self._cut(rows - self.centers[own])
         codes = np.stack([_nearest(p, b).argmin(1) for p, b in zip(parts, self.books, strict=True)], 1)
-        missed = sum(((p - b[c]) ** 2).sum(1) for p, b, c in zip(parts, self.books, codes.T, strict=True))
-        return own, codes.astype(np.uint8), np.sqrt(missed)
+        coded = np.stack([b[c] for b, c in zip(self.books, codes.T, strict=True)])
+        missed = np.sqrt(((parts - coded) ** 2).sum((0, 2)))
+        fixed = (coded**2).sum((0, 2)) + 2 * (coded * self._cut(self.centers[own])).sum((0, 2))
+        return own, codes.astype(np.uint8), missed, fixed
 
-    def probes(self, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(_nearest(rows, self.centers), axis=1, kind="stable")[:, :n]
+    def order(self, rows: np.ndarray) -> np.ndarray:
+        """Lists of each row, nearest first."""
+        return np.argsort(_nearest(rows, self.centers), axis=1, kind="stable")
 
-    def distances(self, query: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of one query to the coded rows of list ``which``."""
-        residual = (query - self.centers[which]).reshape(self.parts, 1, -1)
-        tables = ((self.books - residual) ** 2).sum(2)
-        return tables[np.arange(self.parts)[None], codes].sum(1)
+    def tables(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one query: squared distances to the centroids, and -2 times its products with the code books."""
+        return ((self.centers - query) ** 2).sum(1), -2 * (self.books * query.reshape(self.parts, 1, -1)).sum(2)
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -98,76 +109,175 @@ def _raw(rows: np.ndarray, kind: str) -> pa.Array:
     return pa.array([raw[i : i + m] for i in range(0, len(raw), m)], pa.binary())
 
 
-def _closest(index: Index, which: int, query_id: int, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, missed: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact distances of the ``k`` rows nearest to ``q`` in a block of list ``which``, by distance and id; ``ids`` ascend."""
-    guess = np.sqrt(index.distances(q, which, codes))
-    upper, once = guess + missed, np.append(True, ids[1:] != ids[:-1]) & (ids != query_id)
-    able = ids != query_id
-    if once.sum() > k:  # a not-a-number is no reason to drop a row
-        limit = np.partition(upper[once], k - 1)[k - 1]
-        able &= ~(guess - missed > limit + 1e-9 * (limit + np.sqrt((q**2).sum())))
-    near = np.flatnonzero(able)
-    exact = np.sqrt(((rows[near] - q) ** 2).sum(1))
-    order = np.lexsort((ids[near], exact))
-    near, exact = ids[near][order], exact[order]
-    first = np.sort(np.unique(near, return_index=True)[1])[:k]
-    return near[first], exact[first]
-
-
-def search(vectors: DataFrame, every: int = 100, k: int = 10, lists: int = LISTS, probes: int = PROBES, parts: int = PARTS, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance): the ``k`` nearest found of each row whose vec_id ``every`` divides."""
+class Cell:
+    """Coded rows of some lists, sorted by list and id, that queries search."""
+
+    def __init__(self, index: Index, lists: np.ndarray, ids: np.ndarray, codes: np.ndarray, missed: np.ndarray, fixed: np.ndarray, rows: np.ndarray):
+        self.index, self.lists, self.ids, self.missed, self.fixed, self.rows = index, lists, ids, missed, fixed, rows
+        self.place = codes.astype(np.int64) + np.arange(codes.shape[1]) * index.books.shape[1]
+        self.bounds = np.searchsorted(lists, np.arange(len(index.centers) + 1))
+        self.once = np.append(True, (ids[1:] != ids[:-1]) | (lists[1:] != lists[:-1]))[: len(ids)]
+
+    def closest(self, query_id: int, q: np.ndarray, visits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact distances of the ``k`` rows nearest to ``q`` in the lists it visits, by distance and id."""
+        to_center, table = self.index.tables(q)
+        span = [np.arange(self.bounds[x], self.bounds[x + 1]) for x in visits]
+        at = np.concatenate([*span, np.zeros(0, np.int64)])
+        at = at[self.ids[at] != query_id]
+        guess = np.sqrt(np.maximum(to_center[self.lists[at]] + self.fixed[at] + table.reshape(-1)[self.place[at]].sum(1), 0))
+        upper, once = guess + self.missed[at], self.once[at]
+        if once.sum() > k:  # a not-a-number is no reason to drop a row
+            limit = np.partition(upper[once], k - 1)[k - 1]
+            at = at[~(guess - self.missed[at] > limit + 1e-6 * (limit + math.sqrt((q**2).sum()) + self.index.reach))]
+        exact = np.sqrt(((self.rows[at] - q) ** 2).sum(1))
+        order = np.lexsort((self.ids[at], exact))
+        near, exact = self.ids[at][order], exact[order]
+        first = np.sort(np.unique(near, return_index=True)[1])[:k]
+        return near[first], exact[first]
+
+
+def _exact(batches: Iterator[pa.RecordBatch], asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int, held: str) -> Iterator[pa.RecordBatch]:
+    """Of the rows (dim, list, vec_id, v) of a task, vectors as raw numbers of kind ``held``, the ``k`` nearest to each query in ``asked`` (of each length: ids, vectors)."""
+    best = {dim: (np.full((len(ids), k), np.inf), np.full((len(ids), k), -1), np.zeros((len(ids), k), np.int64)) for dim, (ids, _) in asked.items()}
+    for batch in batches:
+        dims, lists, ids = (np.asarray(batch.column(i)) for i in range(3))
+        for dim in np.unique(dims):
+            own = np.flatnonzero(dims == dim)
+            v = np.frombuffer(b"".join(batch.column(3).take(pa.array(own)).to_pylist()), held).reshape(-1, dim).astype(float)
+            query_ids, q = asked[dim]
+            d = np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T, 0)
+            d[query_ids[:, None] == ids[own][None]] = np.inf
+            far, where, which = best[dim]
+            far, where, which = np.hstack((far, d)), np.hstack((where, np.tile(lists[own], (len(q), 1)))), np.hstack((which, np.tile(ids[own], (len(q), 1))))
+            pick = np.argpartition(far, k - 1, axis=1)[:, :k]
+            best[dim] = tuple(np.take_along_axis(x, pick, 1) for x in (far, where, which))
+    for dim, (far, where, which) in best.items():
+        found = np.isfinite(far)
+        query = np.repeat(asked[dim][0], found.sum(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(query), dim, "i4")), pa.array(query), pa.array(where[found].astype("i4")), pa.array(which[found]), pa.array(far[found])], names=["dim", "query_id", "list", "vec_id", "d"])
+
+
+def _measured(index: DataFrame, models: dict[int, Index], held_out: dict[int, tuple[np.ndarray, np.ndarray]], k: int, target: float, held: str) -> dict[int, int]:
+    """Of each length, the least number of lists that gives the held-out queries the recall ``target``."""
+    near = index.select("dim", "list", "vec_id", "v").mapInArrow(lambda batches: _exact(batches, held_out, k, held), "dim int, query_id long, list int, vec_id long, d double")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("dim", "query_id").orderBy("d", "vec_id"))).filter(F.col("r") <= k)
+    found = best.select("dim", "query_id", "list").toPandas()  # at most HELD_OUT * k rows a length
+    out = {}
+    for dim, (ids, q) in held_out.items():
+        place = np.argsort(models[dim].order(q), axis=1)
+        mine = found[found["dim"] == dim]
+        row = {query: i for i, query in enumerate(ids.tolist())}
+        depth = np.sort([place[row[query], x] for query, x in zip(mine["query_id"], mine["list"], strict=True)])
+        out[dim] = int(depth[min(len(depth) - 1, math.ceil(target * len(depth)) - 1)]) + 1 if len(depth) else len(models[dim].centers)
+    return out
+
+
+def _grouped(sizes: list[tuple[int, int]], block: int) -> tuple[dict[int, int], dict[int, int]]:
+    """(group of each list, blocks of each group): short lists share a group, a long one is a group in blocks of its own."""
+    group, across, held = {}, {}, 0
+    for which, n in sorted(sizes):
+        if not across or held + n > block:
+            across[len(across)], held = 1, 0
+        group[which] = len(across) - 1
+        held += n
+        across[group[which]] = math.ceil(held / block)
+    return group, across
+
+
+def search(
+    vectors: DataFrame, every: int = 100, k: int = 10, lists: int | None = None, probes: int | None = None, parts: int = PARTS, sample: int = SAMPLE, target: float = TARGET
+) -> DataFrame:
+    """query_id, rank, vec_id, score (Euclidean distance): the ``k`` nearest found of each row whose vec_id ``every`` divides.
+
+    ``lists`` is 4 * sqrt(rows) unless given, and an eighth of the sample at most; ``probes`` is measured unless given. The
+    sample has at most ``sample`` vectors and SAMPLE_VALUES components.
+    """
     spark = vectors.sparkSession
     rows = valid(vectors)
     per_length = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked"))
-    dims = sorted(r["dim"] for r in per_length.filter("n > 1 and asked > 0").collect())
-    if not dims:
+    counts = {r["dim"]: r["n"] for r in per_length.filter("n > 1 and asked > 0").collect()}
+    if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-
-    def drawn(dim: int) -> np.ndarray:
-        return np.array(rows.filter(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"].tolist())
-
-    shared = spark.sparkContext.broadcast({dim: Index(drawn(dim), lists, parts) for dim in dims})
-    rows = rows.filter(F.size("v").isin(dims))
-    held = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+    models: dict[int, Index] = {}
+    held_out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim, n in counts.items():
+        aside = min(HELD_OUT, n // 2)
+        drawn = rows.filter(F.size("v") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(aside + max(1, min(sample, SAMPLE_VALUES // dim))).toArrow().combine_chunks()
+        ids, v = drawn["vec_id"].to_numpy(), np.asarray(drawn["v"].combine_chunks().flatten()).reshape(-1, dim)
+        ids, first = np.unique(ids[:aside], return_index=True)
+        held_out[dim] = ids, v[first]
+        models[dim] = Index(v[aside:], lists or max(1, min(4 * math.isqrt(n), (len(v) - aside) // 8)), parts)
+    shared = spark.sparkContext.broadcast(models)
+    rows = rows.filter(F.size("v").isin(list(models)))
+    kind = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, own, v in _by_length(batches):
-            which, codes, missed = shared.value[dim].encode(v)
-            columns = [pa.array(np.full(len(v), dim, "i4")), pa.array(which, pa.int32()), own.column(0), _raw(codes, "u1"), pa.array(missed, pa.float64()), _raw(v, held)]
-            yield pa.RecordBatch.from_arrays(columns, names=["dim", "list", "vec_id", "code", "missed", "v"])
-
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            which, codes, missed, fixed = shared.value[dim].encode(v)
+            columns = [pa.array(np.full(len(v), dim, "i4")), pa.array(which, pa.int32()), own.column(0), _raw(codes, "u1"), pa.array(missed), pa.array(fixed), _raw(v, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["dim", "list", "vec_id", "code", "missed", "fixed", "v"])
+
+    index = outlive(rows.mapInArrow(coded, "dim int, list int, vec_id long, code binary, missed double, fixed double, v binary"), "index")
+    visits = dict.fromkeys(models, probes) if probes else _measured(index, models, held_out, k, target, kind)
+    sizes = index.groupBy("dim", "list").agg(F.count_distinct("vec_id").alias("ids"), F.count("*").alias("n")).collect()  # one row a list
+    shape: dict[int, tuple[dict[int, int], np.ndarray]] = {}
+    across: list[tuple[int, int, int]] = []
+    for dim, model in models.items():
+        mine = [(r["list"], r["n"]) for r in sizes if r["dim"] == dim]
+        share = sum(n for _, n in mine) // int(spark.conf.get("spark.sql.shuffle.partitions"))  # a cell a task, unless that is too many rows
+        group, blocks = _grouped(mine, max(min(LEAST_BLOCK, BLOCK), min(share, BLOCK * 64 // max(dim, 64))))
+        held = np.zeros(len(model.centers), np.int64)
+        for r in sizes:
+            if r["dim"] == dim:
+                held[r["list"]] = r["ids"]
+        shape[dim] = group, held
+        across += [(dim, g, n) for g, n in blocks.items()]
+    plan = spark.sparkContext.broadcast(shape)
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query once a group of lists that it visits, with those lists."""
         for dim, own, v in _by_length(batches):
-            near = shared.value[dim].probes(v, probes)
-            pick = pa.array(np.repeat(np.arange(len(v)), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(near.size, dim, "i4")), pa.array(near.reshape(-1), pa.int32()), own.column(0).take(pick), own.column(1).take(pick)], names=["dim", "list", "query_id", "q"])
-
-    index = outlive(rows.mapInArrow(coded, "dim int, list int, vec_id long, code binary, missed double, v binary"), "index")
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    visited = queries.mapInArrow(visits, "dim int, list int, query_id long, q array<double>")
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK * 64) / F.col("dim"))))  # rows of a cell; fewer of long vectors
-    # lists are few (at most ``lists`` a length); long ones are cut in blocks, and so are the queries that visit a list
-    n_rows = index.groupBy("dim", "list").agg(F.count("*").alias("n")).select("dim", "list", F.ceil(F.col("n") / block).alias("across"))
-    n_queries = visited.groupBy("dim", "list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("down"))
-    shape = F.broadcast(spark.createDataFrame(n_rows.join(n_queries, ["dim", "list"]).collect(), "dim int, list int, across long, down long"))
-    dealt = index.join(shape, ["dim", "list"]).select("dim", "list", "vec_id", "code", "missed", "v", F.pmod(F.xxhash64("vec_id"), "across").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"))
-    asked = visited.join(shape, ["dim", "list"]).select("dim", "list", "query_id", "q", F.pmod(F.xxhash64("query_id"), "down").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("c"))
+            group, held = plan.value[dim]
+            order = shared.value[dim].order(v)
+            enough = (np.cumsum(held[order], axis=1) <= k).sum(1) + 1  # its own row is among them
+            at, groups, which = [], [], []
+            for i, n in enumerate(np.maximum(enough, visits[dim]).tolist()):
+                mine: dict[int, list[int]] = {}
+                for x in order[i, :n].tolist():
+                    if x in group:
+                        mine.setdefault(group[x], []).append(x)
+                at += [i] * len(mine)
+                groups += mine.keys()
+                which += mine.values()
+            pick = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), dim, "i4")), pa.array(groups, pa.int32()), own.column(0).take(pick), _raw(v, kind).take(pick), pa.array(which, pa.list_(pa.int32()))],
+                names=["dim", "group", "query_id", "q", "lists"],
+            )
+
+    where = F.broadcast(spark.createDataFrame([(dim, x, g) for dim, (group, _) in shape.items() for x, g in group.items()], "dim int, list int, group int"))  # one row a list
+    asked = rows.filter(F.col("vec_id") % every == 0).mapInArrow(visited, "dim int, group int, query_id long, q binary, lists array<int>")
+    down = {(r["dim"], r["group"]): r["down"] for r in asked.groupBy("dim", "group").agg(F.ceil(F.count("*") / BLOCK).alias("down")).collect()}
+    cells = F.broadcast(spark.createDataFrame([(dim, g, n, down[dim, g]) for dim, g, n in across if (dim, g) in down], "dim int, group int, across long, down long"))
+    dealt = index.join(where, ["dim", "list"]).join(cells, ["dim", "group"])
+    dealt = dealt.select("dim", "group", "list", "vec_id", "code", "missed", "fixed", "v", F.pmod(F.xxhash64("vec_id"), "across").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("r"))
+    asked = asked.join(cells, ["dim", "group"])
+    asked = asked.select("dim", "group", "query_id", "q", "lists", F.pmod(F.xxhash64("query_id"), "down").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("c"))
 
     def cell(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            left = left.sort_values("vec_id", kind="stable")
-            ids, missed = left["vec_id"].to_numpy(), left["missed"].to_numpy()
-            codes = np.frombuffer(b"".join(left["code"]), np.uint8).reshape(len(ids), -1)
-            own = np.frombuffer(b"".join(left["v"]), held).reshape(len(ids), -1).astype(float)
-            for query_id, q in zip(right["query_id"], right["q"], strict=True):
-                near, exact = _closest(shared.value[int(key[0])], int(key[1]), query_id, np.asarray(q), ids, codes, missed, own, k)
+            left = left.sort_values(["list", "vec_id"], kind="stable")
+            codes, v = (np.frombuffer(b"".join(left[c]), of).reshape(len(left), -1) for c, of in (("code", np.uint8), ("v", kind)))
+            here = Cell(shared.value[int(key[0])], left["list"].to_numpy(), left["vec_id"].to_numpy(), codes, left["missed"].to_numpy(), left["fixed"].to_numpy(), v.astype(float))
+            for query_id, q, mine in zip(right["query_id"], right["q"], right["lists"], strict=True):
+                near, exact = here.closest(query_id, np.frombuffer(q, kind).astype(float), mine, k)
                 out["query_id"].append(np.full(len(near), query_id))
                 out["vec_id"].append(near)
                 out["score"].append(exact)
         return pd.DataFrame({c: np.concatenate(x) if x else np.zeros(0, "f8" if c == "score" else "i8") for c, x in out.items()})
 
-    found = dealt.groupBy("dim", "list", "r", "c").cogroup(asked.groupBy("dim", "list", "r", "c")).applyInPandas(cell, "query_id long, vec_id long, score double")
+    found = dealt.groupBy("dim", "group", "r", "c").cogroup(asked.groupBy("dim", "group", "r", "c")).applyInPandas(cell, "query_id long, vec_id long, score double")
     scored = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return (
         scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))

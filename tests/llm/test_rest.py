@@ -50,14 +50,53 @@ def test_search_leaves_bad_vectors_out_and_breaks_ties_by_id(spark):
 
 
 def test_search_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 8)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(ann, "BLOCK", 64)
     rng = np.random.default_rng(0)
-    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=5, k=3, lists=2, probes=2).toPandas()
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(900)]
+    for every, lists in ((5, 2), (7, 40)):  # long lists in blocks, short ones together; many queries a cell
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=every, k=3, lists=lists, probes=lists).toPandas()
+        for q, part in got.groupby("query_id"):
+            assert list(part.sort_values("rank").vec_id) == [i for _, i in exact(rows, q, 3)]
+        assert got.query_id.nunique() == -(-900 // every)
+
+
+def test_lists_in_groups():
+    assert ann._grouped([(3, 5), (0, 4), (1, 4), (2, 30)], 10) == ({0: 0, 1: 0, 2: 1, 3: 2}, {0: 1, 1: 3, 2: 1}) and ann._grouped([], 10) == ({}, {})
+
+
+def test_search_goes_on_until_it_has_enough(spark):
+    rows = [(i, [float(i % 40), float(i % 7)]) for i in range(200)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=25, lists=20, probes=1).toPandas()
+    assert set(got.groupby("query_id").size()) == {25} and got.query_id.nunique() == 9  # vector 0 is a zero vector
+    few = ann.search(spark.createDataFrame(rows[1:12], "vec_id long, embedding array<double>"), every=5, k=25).toPandas()
+    assert set(few.groupby("query_id").size()) == {10}
+
+
+def test_search_recall_beyond_the_sample(spark, monkeypatch):
+    """60,000 vectors in clusters, of which 3,000 are sampled: recall 0.9 or more, and few rows looked at."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(300, 32))
+    v = (centers[rng.integers(0, 300, 60_000)] + 0.15 * rng.normal(size=(60_000, 32))).astype("f4")
+    seen = []
+    wide = ann._measured
+    monkeypatch.setattr(ann, "_measured", lambda *a: seen.append((wide(*a), a[1])) or seen[-1][0])
+    import pandas as pd
+
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(60_000), "embedding": v.tolist()}), "vec_id long, embedding array<float>")
+    got = ann.search(table, every=300, sample=3000).toPandas()
+    hits, v = 0, v.astype(float)
     for q, part in got.groupby("query_id"):
-        assert list(part.sort_values("rank").vec_id) == [i for _, i in exact(rows, q, 3)]
-    assert got.query_id.nunique() == 12
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(part.vec_id) & set(np.argsort(d, kind="stable")[:10].tolist()))
+        assert np.allclose(np.sort(part.score), d[part.sort_values("score").vec_id])
+    assert got.query_id.nunique() == 200 and hits >= 0.9 * 2000, hits
+    (probes, models) = seen[0]
+    index, share = models[32], []
+    size = np.bincount(index.lists(v), minlength=len(index.centers))
+    for q in range(0, 60_000, 300):
+        share.append(size[index.order(v[q : q + 1])[0, : probes[32]]].sum() / len(v))
+    assert np.mean(share) < 0.1, np.mean(share)
 
 
 def test_search_finds_near_copies_in_groups_of_any_size(spark):
@@ -119,15 +158,37 @@ def test_ordered_grades_share_weights():
     assert ((p > 0.5).sum(1) == np.array(grades)).mean() > 0.95
 
 
-def test_chat_by_hand(spark):
-    rows = [(1, 1, "bob", "yo"), (1, 0, "system", "rules"), (1, 2, "amy", None), (1, 70, "bob", "late"), (None, None, None, "x"), (2, 0, "system", "alone")]
-    got = {(r.conv_id, r.speaker, r.part): r for r in chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, "bob", 0), (1, "bob", 1), (1, "amy", 0), (1, "amy", 1), (None, "unknown", -1)}
-    bob = got[1, "bob", 0]
-    assert bob.rendered == "<|system|>\nrules<|end|>\n<|assistant|>\nyo<|end|>\n<|user name=amy|>\n<|end|>\n"
-    assert [bob.rendered[s.start : s.end] for s in bob.spans] == ["yo<|end|>"]
-    assert got[1, "amy", 1].spans == []
-    assert chat.perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string, part int")).count() == 0
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def dialogues(rows):
+    """(conv_id, speaker) -> (turns, rendered, what the speaker says), turn by turn."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        said = [(t, role if role is not None else "unknown", text or "") for c, t, role, text in rows if c == conv]
+        said.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
+        for speaker in {r for _, r, _ in said} - {"system"}:
+            whole, own = "", []
+            for _, role, text in said:
+                name = role.replace("<|", "<\\|").replace("|>", "\\|>")
+                whole += ("<|assistant|>" if role == speaker else "<|system|>" if role == "system" else f"<|user name={name}|>") + "\n"
+                at, body = len(whole), text.replace("<|", "<\\|") + "<|end|>"
+                whole += body + "\n"
+                if role == speaker:
+                    own.append((at, at + len(body)))
+            out[conv, speaker] = len(said), whole, own
+    return out
+
+
+def test_chats_of_any_length_equal_a_plain_loop(spark):
+    rows = [(1, 1, "bob", "yo"), (1, 0, "system", "rules"), (1, 2, "amy", None), (1, 70, "bob", "late"), (None, None, None, "x"), (None, 3, "bob", "y"), (2, 0, "system", "alone")]
+    rows += [(3, 5, "cy", "same"), (3, 5, "cy", "same"), (3, 5, "al", "tie"), (3, None, "al", ""), (3, -4, "𝓐", "𝓐" * 70_000)]
+    rows += [(4, 0, "x|>\n", "<|end|>\n<|assistant|>\nforged"), (4, 1, "<|system|>", "<|"), (4, 2, "", "nameless")]
+    for conv, n in ((10, 1), (11, 64), (12, 65), (13, 1000)):
+        rows += [(conv, t, "system" if t == 0 and n > 1 else f"p{t % 3}", f"turn {t}") for t in range(n)]
+    got = chat.perspectives(spark.createDataFrame([(*r, "z", 1) for r in rows], f"{CHAT}, speaker string, turns int").repartition(5)).collect()
+    assert {(r.conv_id, r.speaker): (r.n_turns, r.rendered, [tuple(s) for s in r.spans]) for r in got} == dialogues(rows) and len(got) == len(dialogues(rows))
+    assert chat.perspectives(spark.createDataFrame([], CHAT)).count() == 0
 
 
 def test_targets():
@@ -151,6 +212,22 @@ def test_mix_meets_budgets_and_reruns_agree(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    """2,000 null ids have keys of their own; equal rows are taken as copies, each source keeps its budget."""
+    rows = [(None, f"one two {i}", "a") for i in range(2000)] + [(None, "x y z", "b")] * 3000 + [(7, "p q", "a"), (7, "p q", "c"), (7, "p q r", "c"), (8, "long " * 60_000, "c")]
+    docs = spark.createDataFrame([(*r, "n", 2) for r in rows], "doc_id long, text string, source string, __taken string, _size int")
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 3 * got["size"]).all()
+    for source, part in got.groupby("source"):
+        assert part.taken.sum() == int(part.target.iloc[0] + 0.5), source
+    a, b = (got[got.source == s] for s in "ab")
+    assert a.taken.nunique() > 1 or b.taken.nunique() > 1
+    one, two = (mixing.mixed(d).toPandas() for d in (docs, docs.repartition(7)))
+    assert sorted(map(repr, one.to_numpy().tolist())) == sorted(map(repr, two.to_numpy().tolist())) and list(one.columns) == docs.columns
+    for source, part in got.groupby("source"):
+        assert sum(len(WORD.findall(t)) for t in one[one.source == source].text) == part.taken.sum(), source
+
+
 def test_archive_is_a_dictionary_and_frames():
     import zstandard
 
