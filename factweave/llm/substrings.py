@@ -4,10 +4,11 @@ Every ``window``-word window has a Rabin-Karp hash. To count them without shuffl
 minimiser, the smallest hash among the GRAM-word grams inside it: equal windows have equal minimisers, and a document has about
 one minimiser per eight words. Minimisers that occur once in the corpus settle their windows as unique. The windows of the
 others are counted one by one on 96 bits of their Rabin-Karp hashes; all but the first of equal windows mark their words, and
-marked words merge into maximal intervals. Texts that equal an earlier text are settled whole, before any window is counted.
+marked words merge into maximal intervals. Texts with the words of an earlier text are settled whole, before any window is counted.
 
-A null text has no words. A null ``doc_id`` orders before all others. Rows that repeat a ``doc_id`` and its text are one
-document at one place, so they take nothing from each other. Extra columns are ignored.
+A null text has no words. A document is a ``doc_id`` with its text: rows that repeat both are one document at one place and
+take nothing from each other; texts that share a ``doc_id`` are ordered by a hash. A null ``doc_id`` orders before all others,
+and is an id like any other that texts share. Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from factweave.llm.store import keep, outlive, redealt, tidy
+from factweave.llm.store import keep, named, outlive, redealt, rewritten, spare, tidy
 from factweave.llm.wordhash import U, Words, mix, rolling, slices
 
 WINDOW, GRAM = 20, 8
@@ -58,18 +58,21 @@ class Windows:
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
-            split = [(t.as_py() or "").encode().split() for t in batch.column(3)]
-            digest = [hashlib.sha256(b" ".join(w)).hexdigest() for w in split]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(map(len, split), pa.int64()), pa.array(digest)], names=["id", "x1", "x2", "n_words", "all_sha256"])
+            split = [(t.as_py() or "").encode().split() for t in batch.column(2)]
+            digest = [hashlib.sha256(b" ".join(w)) for w in split]
+            halves = np.frombuffer(b"".join(d.digest()[:16] for d in digest), "<i8").reshape(-1, 2)
+            columns = [*batch.columns[:2], pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(map(len, split), pa.int64()), pa.array([d.hexdigest() for d in digest], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "doc", "h1", "h2", "n_words", "all_sha256"])
 
 
 def _minimisers(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = Windows(batch.column(1), window, gram)
+                found = Windows(batch.column(2), window, gram)
                 doc = np.searchsorted(found.words.first, found.chosen, side="right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(found.grams[found.chosen].view(np.int64)), batch.column(0).take(pa.array(doc))], names=["gram", "id"])
+                pick = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(found.grams[found.chosen].view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick)], names=["gram", "id", "tie"])
 
     return run
 
@@ -93,7 +96,7 @@ def _candidates(window: int, gram: int):
                 pick = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k1.view(np.int64)), pa.array((k2 >> U(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array((at - found.words.first[doc]).astype(np.int32))],
-                    names=["k1", "k2", "id", "copy", "start"],
+                    names=["k1", "k2", "id", "tie", "start"],
                 )
 
     return run
@@ -112,7 +115,7 @@ def _digest(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, digest = [], []
-            for text, starts in zip(batch.column(2), batch.column(3), strict=True):
+            for text, starts in zip(batch.column(1), batch.column(2), strict=True):
                 words, left, at = text.as_py().encode().split(), [], 0
                 for a, b in merge(np.array(starts.as_py()), window):
                     left += words[at:a]
@@ -120,50 +123,61 @@ def _digest(window: int):
                 left += words[at:]
                 gone.append(len(words) - len(left))
                 digest.append(hashlib.sha256(b" ".join(left)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["id", "x1", "cut", "cut_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(digest, pa.string())], names=["doc", "cut", "cut_sha256"])
 
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(key.alias("id"), F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), "text").alias("x2"), "text")
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _doc() -> Column:
+    """A document in one number: its id and text."""
+    return F.xxhash64(_id(), "text")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(summary, marked): summary has (id, x1, n_words, all_sha256, later) of every row, later = an earlier text is the same;
-    marked has (id, x1, text, starts) of the other documents in which windows start that also start earlier."""
+    """(summary, marked): summary has (id, doc, n_words, all_sha256, later) of every row, later = the words are those of an earlier
+    document; marked has (doc, text, starts) of the other documents in which windows start that also start earlier."""
     with tidy(docs.sparkSession):
-        text = _keyed(docs)
-        seen = keep(text.mapInArrow(_summary, "id long, x1 long, x2 long, n_words long, all_sha256 string"), "texts")
-        first = seen.groupBy("x1", "x2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(redealt("x1"), "x2", "first")
-        summary = keep(seen.join(first, ["x1", "x2"], "left").withColumn("later", F.coalesce(F.col("id") > F.col("first"), F.lit(False))).drop("first", "x2"), "summary")
-        late = summary.groupBy("id").agg(F.collect_set(F.when(F.col("later"), F.col("x1"))).alias("late"), F.min("later").alias("all_late")).filter(F.size("late") > 0)
+        text = docs.select(_id().alias("id"), _doc().alias("doc"), "text")
+        seen = keep(text.mapInArrow(_summary, "id long, doc long, h1 long, h2 long, n_words long, all_sha256 string"), "texts")
+        # few ids have several texts, if any; only there a document's number goes with its id through the shuffles
+        torn = keep(seen.groupBy("id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).filter("a < z").select(redealt("id"), F.lit(True).alias("torn")), "torn")
 
-        chosen = text.select("id", "text").mapInArrow(_minimisers(window, gram), "gram long, id long")
+        def told_apart(rows: DataFrame) -> DataFrame:
+            return rows.join(torn, "id", "left").withColumn("tie", F.when(F.col("torn"), F.col("doc")).otherwise(F.lit(0).cast("long"))).drop("torn")
+
+        first = seen.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(redealt("h1"), "h2", "first")
+        later = seen.join(first, ["h1", "h2"], "left").withColumn("later", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+        summary = keep(told_apart(later.drop("first", "h1", "h2")), "summary")
+        late = summary.filter("later").select("id", "tie").distinct()
+        told = told_apart(text)
+        chosen = told.select("id", "tie", "text").mapInArrow(_minimisers(window, gram), "gram long, id long, tie long")
 
         def repeated(rows: DataFrame) -> DataFrame:
             often = rows.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select(redealt("gram"))
             return rows.join(often, "gram")
 
         some = keep(repeated(chosen), "minimisers")
-        ours = keep(some.join(late.filter("all_late"), "id", "left_anti"), "minimisers")
-        by_doc = repeated(ours).groupBy("id").agg(F.collect_set("gram").alias("grams")).join(late.select("id", "late"), "id", "left")
-        copy = F.dense_rank().over(Window.partitionBy("id").orderBy("x1"))  # tells texts of a repeated doc_id apart
-        affected = keep(text.drop("x2").join(by_doc, "id").filter("late is null or not array_contains(late, x1)").drop("late").withColumn("copy", copy), "affected")
+        ours = keep(some.join(late, ["id", "tie"], "left_anti"), "minimisers")
+        by_doc = repeated(ours).groupBy("id", "tie").agg(F.collect_set("gram").alias("grams"))
+        affected = keep(told.join(by_doc, ["id", "tie"]).select("id", "tie", "text", "grams", "doc"), "affected")
         # cheaper to hash again than to store: one pass finds the first place of each window, the other compares with it
-        windows = affected.select("id", "copy", "text", "grams").mapInArrow(_candidates(window, gram), "k1 long, k2 int, id long, copy int, start int")
-        origin = windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "start")).alias("origin"), F.count("*").alias("n")).filter("n > 1").select(redealt("k1"), "k2", "origin")
-        again = windows.join(origin, ["k1", "k2"]).filter(F.struct("id", "start") > F.col("origin")).groupBy("id", "copy").agg(F.collect_set("start").alias("starts"))
-        return outlive(summary, "summary"), outlive(affected.select("id", "copy", "x1", "text").join(again, ["id", "copy"]).drop("copy"), "marked")
+        windows = affected.drop("doc").mapInArrow(_candidates(window, gram), "k1 long, k2 int, id long, tie long, start int")
+        place = F.struct("id", "tie", "start")
+        origin = windows.groupBy("k1", "k2").agg(F.min(place).alias("origin"), F.count("*").alias("n")).filter("n > 1").select(redealt("k1"), "k2", "origin")
+        again = windows.join(origin, ["k1", "k2"]).filter(place > F.col("origin")).groupBy("id", "tie").agg(F.collect_set("start").alias("starts"))
+        return outlive(summary.drop("tie"), "summary"), outlive(affected.select("id", "tie", "doc", "text").join(again, ["id", "tie"]).select("doc", "text", "starts"), "marked")
 
 
 def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256 (kept words joined by one blank)."""
     summary, marked = repeats(docs, window, gram)
-    cut = marked.mapInArrow(_digest(window), "id long, x1 long, cut long, cut_sha256 string").dropDuplicates(["id", "x1"])
+    cut = marked.mapInArrow(_digest(window), "doc long, cut long, cut_sha256 string").dropDuplicates(["doc"])  # rows of a document are equal
     whole = F.col("later") & (F.col("n_words") >= window)
-    return summary.join(cut, ["id", "x1"], "left").select(
+    return summary.join(cut, "doc", "left").select(
         F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"),
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).alias("n_removed"),
@@ -172,15 +186,14 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 
 
 def _cut(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column has the starts of the windows that go; the others come out, the text without them."""
+
+    def run(batches: Iterator[pa.RecordBatch], at_text: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.schema.names
             out = []
-            for text, starts, whole in zip(*(batch.column(names.index(c)) for c in ("text", "__starts", "__whole")), strict=True):
+            for text, starts in zip(batch.column(at_text), batch.column(batch.num_columns - 1), strict=True):
                 raw = text.as_py()
-                if whole.as_py():
-                    raw = ""
-                elif starts.is_valid and raw:
+                if starts.is_valid and raw:
                     words = Words(pa.array([raw]))
                     data, left, at = raw.encode(), [], 0
                     for a, b in merge(np.array(starts.as_py()), window):
@@ -188,8 +201,7 @@ def _cut(window: int):
                         at = int(words.starts[b]) if b < len(words.starts) else len(data)
                     raw = b"".join([*left, data[at:]]).decode()
                 out.append(raw)
-            keep_ = [n for n in names if not n.startswith("__")]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(names.index(n)) for n in keep_], names=keep_)
+            yield batch.select(list(range(batch.num_columns - 1))).set_column(at_text, batch.schema.names[at_text], pa.array(out, pa.string()))
 
     return run
 
@@ -197,13 +209,9 @@ def _cut(window: int):
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` without the repeated words (their following white space goes with them); documents left without a word go."""
     summary, marked = repeats(docs, window, gram)
-    whole = summary.filter(F.col("later") & (F.col("n_words") >= window)).select("id", "x1", F.lit(True).alias("__whole"), F.lit(None).cast("array<int>").alias("__starts"))
-    cuts = marked.select("id", "x1", F.lit(False).alias("__whole"), F.col("starts").alias("__starts")).unionByName(whole).dropDuplicates(["id", "x1"])
-    cuts = cuts.select(F.col("id").alias("__id"), F.col("x1").alias("__x1"), "__whole", "__starts")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    found = docs.join(cuts, (key == F.col("__id")) & (F.xxhash64("text") == F.col("__x1")), "left")
-    found = found.filter("not coalesce(__whole, false)").select(*docs.columns, "__whole", "__starts")
-    out = found.mapInArrow(_cut(window), docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    doc, starts, whole = spare(docs, "doc", "starts", "whole")
+    all_gone = summary.filter(F.col("later") & (F.col("n_words") >= window)).select("doc", F.lit(None).cast("array<int>").alias("starts"), F.lit(True).alias("whole"))
+    cuts = marked.select("doc", F.sort_array("starts").alias("starts"), F.lit(False).alias("whole")).unionByName(all_gone).dropDuplicates(["doc"])
+    cuts = cuts.select(F.col("doc").alias(doc), F.col("starts").alias(starts), F.col("whole").alias(whole))
+    found = docs.join(cuts, _doc() == F.col(doc), "left").filter(~F.coalesce(F.col(whole), F.lit(False))).select(*named(docs), starts)
+    return rewritten(docs, found, _cut(window)).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))

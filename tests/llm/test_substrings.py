@@ -63,6 +63,25 @@ def test_null_ids_empty_tables_and_repeated_rows(spark):
     assert sorted(r.n_removed for r in substrings.report(frame([(7, text), (7, text)])).collect()) == [0, 0]
 
 
+def test_texts_that_share_an_id_are_documents_apart(spark):
+    """Null and repeated ids: the earlier of two such texts, by hash, keeps what both hold, wherever it starts."""
+    text = " ".join(f"w{i}" for i in range(25))
+    rows = [(None, f"{text} {i}") for i in range(40)] + [(5, f"{text} x"), (5, f"{text} y"), (5, f"{text} y")]
+    frame = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, __starts string, _doc int")
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substrings.report(frame).collect())
+    assert got == sorted([(-1, 26, 0)] + [(-1, 26, 25)] * 39 + [(5, 26, 25)] * 3)
+    left = substrings.remove(frame).collect()
+    assert sorted(len(r.text.split()) for r in left) == [1] * 42 + [26] and left[0].asDict().keys() == set(frame.columns)
+
+
+def test_many_null_ids(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b c d e f g h i j k l m n o p q r s "), F.col("id").cast("string"), F.lit(" z")).alias("text"))
+    got = substrings.report(frame).agg(F.sum("n_removed"), F.count("*"), F.max("n_words")).first()
+    assert tuple(got) == (0, 100_000, 21)
+
+
 def test_intervals_merge():
     import numpy as np
 
