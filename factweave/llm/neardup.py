@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factweave.llm.components import components
-from factweave.llm.store import keep, outlive, redealt, tidy
+from factweave.llm.store import keep, one_each, outlive, redealt, spare, tidy
 from factweave.llm.wordhash import U, Words, mix, rolling, slices
 
 K, R, B, Z = 128, 4, 4, 4.5
@@ -35,7 +35,7 @@ TILE = 1 << 15
 _seed = np.random.Generator(np.random.PCG64(20_26))
 MUL = _seed.integers(0, 1 << 63, K, dtype=np.uint64) * U(2) + U(1)
 ADD = _seed.integers(0, 1 << 63, K, dtype=np.uint64)
-SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, signature array<long>, bands array<long>"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_hi long, set_lo long, signature array<long>, bands array<long>"
 
 
 def room(threshold: float, k: int = K, b: int = B, z: float = Z) -> float:
@@ -117,8 +117,8 @@ def _signatures(size: int):
                     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(a.reshape(-1).view(np.int64)))
 
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), rows(sig), rows(keys)],
-                    names=["doc_id", "n_shingles", "set_hi", "set_lo", "signature", "bands"],
+                    [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), rows(sig), rows(keys)],
+                    names=["doc_id", "text_hash", "n_shingles", "set_hi", "set_lo", "signature", "bands"],
                 )
 
     return run
@@ -275,22 +275,29 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
 
     Words are lower-cased in A-Z. Documents are linked when intersection / union of their sets of ``size``-word shingles reaches
     ``threshold``; a document of fewer words has its whole sequence as its set, one without words (or null text) no set and no
-    link. ``component_id`` is the smallest ``doc_id`` reachable, ``kept`` marks the row that bears it. Repeated rows are copies
-    like any other, and all rows that bear the component's id are kept. A null ``doc_id`` takes no part: its component is null
-    and it is kept. Extra columns are ignored.
+    link. ``component_id`` is the smallest ``doc_id`` reachable, ``kept`` marks the row that bears it. Texts that share a
+    ``doc_id`` are one document, linked through each of them. Repeated rows are copies like any other, and all rows that bear the
+    component's id are kept. A null ``doc_id`` takes no part: its component is null and it is kept. Extra columns are ignored.
     """
     with tidy(docs.sparkSession):
-        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
         least = room(threshold)
         seen = keep(text.mapInArrow(_signatures(size), SIGNATURE), "signatures")
         part = seen.filter("n_shingles > 0 and doc_id is not null")
-        # representatives: the smallest document of each set
-        first = part.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-        copied = first.filter("copies > 1").select(redealt("set_hi"), redealt("set_lo"), "id")
-        member = keep(part.select("doc_id", "set_hi", "set_lo").join(copied, ["set_hi", "set_lo"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("id")), "members")
-        later = member.filter("doc_id <> id").select("doc_id").distinct()
-        reps = part.join(later, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands")
-        reps = keep(reps.dropDuplicates(["id"]), "representatives")
+        # representatives: each set under the id of its smallest document; where a document is that of several sets, all but
+        # one of them get a number beyond all ids
+        first = part.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+        several = first.groupBy("first").agg(F.count("*").alias("n"), F.min(F.struct("set_hi", "set_lo")).alias("own")).filter("n > 1").select(redealt("first"), "own")
+        other = F.col("own").isNotNull() & (F.struct("set_hi", "set_lo") != F.col("own"))
+        beyond = F.lit(1 << 62) + F.pmod(F.xxhash64("first", "set_hi", "set_lo"), F.lit(1 << 62))
+        first = keep(first.join(several, "first", "left").select("set_hi", "set_lo", "first", "copies", F.when(other, beyond).otherwise(F.col("first")).alias("id")), "sets")
+        copied = first.filter("copies > 1 or id <> first").select(redealt("set_hi"), redealt("set_lo"), "first", "id")
+        known = part.join(copied, ["set_hi", "set_lo"], "left").withColumn("id", F.coalesce("id", "doc_id"))
+        member = keep(known.select("doc_id", "id").distinct(), "members")
+        reps = known.filter("first is null or doc_id = first").select("id", "doc_id", "text_hash", "n_shingles", "signature", "bands")
+        reps = keep(reps.dropDuplicates(["id"]), "representatives")  # rows of an id have one set
+        torn = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select(redealt("doc_id"), "a")
+        same = member.join(torn, "doc_id").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
         entries = reps.select("id", F.explode("bands").alias("bucket"))
         crowded = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(redealt("bucket"))
         shared = keep(entries.join(crowded, "bucket"), "buckets")
@@ -298,7 +305,8 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
         met = shared.join(pivots, "bucket")
         involved = shared.select("id").distinct()
         facts = keep(reps.join(involved, "id", "left_semi"), "facts")
-        sets = keep(text.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(_sets(size), "id long, shingles binary"), "sets").dropDuplicates(["id"])
+        ours = text.join(facts.select("id", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("id", "text")
+        sets = keep(ours.mapInArrow(_sets(size), "id long, shingles binary"), "sets").dropDuplicates(["id"])
 
         def confirmed(pairs: DataFrame) -> DataFrame:
             x, y = (sets.select(F.col("id").alias(e), F.col("shingles").alias(f"s{e}")) for e in "ab")
@@ -309,7 +317,7 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
         star = met.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
         likely = star.join(y, "b").join(x, "a").filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b", estimate(F.col("ga"), F.col("gb")).alias("guess")).filter(F.col("guess") >= least)
         best = likely.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("guess"), "b"))).filter("r <= 4").select("a", "b")
-        links = keep(confirmed(best), "links")
+        links = keep(confirmed(best).unionByName(same), "links")
         grouped = components(links)
 
         # what is still apart inside a bucket
@@ -344,7 +352,9 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
 
 
 def unique(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group, all columns of ``docs``. Of rows that repeat the kept ``doc_id`` one stays."""
-    kept = groups(docs, **how).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, all columns of ``docs``. Of rows that repeat the kept ``doc_id`` one stays; which one, their
+    columns settle."""
+    (doc,) = spare(docs, "id")
+    kept = groups(docs, **how).filter("kept and doc_id is not null").select(F.col("doc_id").alias(doc)).distinct()
+    known = one_each(docs.join(kept, F.col("doc_id") == F.col(doc), "left_semi"), "doc_id")
     return known.unionByName(docs.filter("doc_id is null"))

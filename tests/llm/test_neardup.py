@@ -79,6 +79,24 @@ def test_empty_nulls_and_repeated_rows(spark):
     assert sorted(r.doc_id or -1 for r in neardup.unique(docs).collect()) == [-1, -1, 3]
 
 
+def test_texts_that_share_an_id_are_one_document(spark):
+    """Repeated ids with different texts join what any of their texts is linked with, and one of their rows stays."""
+    rng = random.Random(8)
+    texts = [" ".join(f"g{g}w{i}" for i in range(90)) for g in range(9)]
+    near = [t.replace("w7 ", "x7 ") for t in texts]
+    rows = [(5, texts[0]), (5, texts[1]), (9, near[0]), (11, near[1]), (11, texts[2]), (20, near[2]), (30, texts[3]), (2, texts[4]), (2, texts[5]), (2, texts[6]), (2, near[6]), (40, texts[7]), (40, None), (41, "")]
+    rows += [(3, texts[4]), (50, texts[5]), (50, texts[8]), (51, near[8]), (5, texts[0])]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, f"{k}", "m") for k, r in enumerate(rows)], "doc_id long, text string, id string, `_id.x` string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in neardup.groups(docs).collect()}
+    group = {5: 5, 9: 5, 11: 5, 20: 5, 30: 30, 2: 2, 3: 2, 50: 2, 51: 2, 40: 40, 41: 41}
+    assert {i: c for (i, _), c in got.items()} == group and neardup.groups(docs).count() == len(rows)
+    one, two = ([sorted(map(repr, neardup.unique(d).collect()))] for d in (docs, docs.repartition(7)))
+    assert one == two and len(one[0]) == 5
+    alike = spark.createDataFrame([(7, f"{t} {i}") for i, t in enumerate(texts * 20)], "doc_id long, text string")
+    assert {r.component_id for r in neardup.groups(alike).collect()} == {7}
+
+
 def test_estimate_is_unbiased_and_the_room_is_wide():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8):
