@@ -17,7 +17,10 @@ from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer bytes than Spark gives each core of a scan is dealt to all cores, since row groups are not split."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    few = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes")) * cores
+    return rows.repartition(cores) if rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < few else rows
 
 
 def shared_dir(spark: SparkSession) -> str:
