@@ -17,6 +17,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -154,9 +155,9 @@ class Encoder(dict):
     """Ids by the tokenizers library, for a byte-level BPE. It treats pre-tokens apart, so each distinct one is encoded once;
     as a dict, this is the bounded cache, of two generations, from pre-token to the bytes of its ids.
 
-    Pre-tokens are cut here by the vocabulary's pattern and handed to the library in its byte alphabet, many in one text with
-    line breaks between them: a line break is then always a token of its own. With ``special``, texts are first split at the
-    definition's added tokens, which become their ids, as the library does when loaded; else those strings are ordinary text.
+    Pre-tokens are cut here by the vocabulary's pattern and handed to the library's model in its byte alphabet. With ``special``,
+    texts are first split at the definition's added tokens, which become their ids, as the library does when loaded; else those
+    strings are ordinary text.
     """
 
     def __init__(self, definition: str, pattern: str, special: bool = False):
@@ -164,13 +165,9 @@ class Encoder(dict):
         self.old: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import Split
 
         self.alphabet = byte_alphabet()
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.pre_tokenizer = Split(self.alphabet[10], "isolated")
-        self.line_break = self.tokenizer.token_to_id(self.alphabet[10])
+        self.tokens = Tokenizer.from_str(definition).model.tokenize
         self.cut = Splitter(pattern)
         added = json.loads(definition).get("added_tokens") or [] if special else []
         if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
@@ -183,36 +180,23 @@ class Encoder(dict):
             return self.cut(text)
         return list(chain.from_iterable([p] if p in self.added else self.cut(p) for p in self.mark.split(text) if p))
 
-    def shown(self, text: str) -> str:
-        return text.encode().decode("latin-1").translate(self.alphabet)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes new pre-tokens."""
-        self.update((p, self.added[p]) for p in pieces if p in self.added)
-        lines = [p for p in pieces if p not in self.added and not p.isspace()]
-        for at in range(0, len(lines), 4096):
-            some = lines[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.shown("\n".join(some))], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_break)
-            if len(cuts) == len(some) - 1:
-                raw, ends = ids.tobytes(), (4 * cuts).tolist()
-                spans = map(slice, [0, *(4 * cuts + 4).tolist()], [*ends, len(raw)])
-                self.update(zip(some, map(raw.__getitem__, spans), strict=True))
-        for p in pieces:  # white space, and lines that did not come apart
-            if p not in self:
-                self[p] = np.array([t.id for t in self.tokenizer.model.tokenize(self.shown(p))], "<u4").tobytes()
+    def shown(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():  # stands for itself but for blanks
+            return piece.replace(" ", self.alphabet[32])
+        return piece.encode().decode("latin-1").translate(self.alphabet)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self.pieces(t) for t in texts]
-        new = set(chain.from_iterable(pieces)).difference(self)
-        known = new & self.old.keys()
-        self.update(zip(known, map(self.old.__getitem__, known), strict=True))
-        self.learn(list(new - known))
-        out = [np.frombuffer(b"".join(map(self.__getitem__, own)), "<u4") for own in pieces]
-        if len(self) > CACHE:  # the young generation becomes the old one
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:  # the young generation becomes the old one
             self.old = dict(self)
             self.clear()
-        return out
+        ids = self.old.get(piece) or self.added.get(piece)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tokens(self.shown(piece))]).tobytes()
+        self[piece] = ids
+        return ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(map(self.__getitem__, self.pieces(t))), "<u4") for t in texts]
 
 
 _encoders: dict[int, Encoder] = {}
