@@ -117,7 +117,7 @@ _TOKENS = "(SELECT DISTINCT doc_id AS doc, unnest(regexp_extract_all(translate(t
 
 @query(f"SELECT token, count(*) AS n_docs FROM {_TOKENS} GROUP BY token")
 def posting_list(spark: SparkSession, d: str) -> DataFrame:
-    return index.posting_counts(index.posting_list(read(spark, d, "documents"), "doc_id", keys.identifier_tokens("text")))
+    return index.token_counts(read(spark, d, "documents"), keys.identifier_tokens("text"))
 
 
 @query(f"""SELECT DISTINCT doc AS doc_id FROM {_TOKENS} WHERE token IN (SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -420,7 +420,7 @@ def symbol_at_offset(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p(prefix) AS (VALUES ('http://'), ('https://'), ('https://blog.'), ('https://tionsh.example.net/'), ('http://tionsh.example.net/fr/'), ('https://tionsh.example.net/es/'))
-    SELECT url, (SELECT max(prefix) FROM p WHERE starts_with(url, prefix) AND prefix LIKE '%/' AND length(prefix) = (SELECT max(length(prefix)) FROM p WHERE starts_with(url, prefix) AND prefix LIKE '%/')) AS prefix FROM pages""")
+    SELECT url, (SELECT arg_max(prefix, length(prefix)) FROM p WHERE starts_with(url, prefix)) AS prefix FROM pages""")
 def longest_prefix(spark: SparkSession, d: str) -> DataFrame:
     rules = ["http://", "https://", "https://blog.", "https://tionsh.example.net/", "http://tionsh.example.net/fr/", "https://tionsh.example.net/es/"]
     return references.longest_prefix(read(spark, d, "pages").select("url"), "url", spark.createDataFrame([(r,) for r in rules], "prefix string"), "prefix")
@@ -465,9 +465,11 @@ def version_filter(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", keys.version_in_range(v, since, removed).alias("included"))
 
 
-@query("""SELECT doc_id, len(string_split(left(text, doc_id % 900), chr(10))) AS line, length(string_split(left(text, doc_id % 900), chr(10))[-1]) AS col FROM documents""")
+@query("""SELECT doc_id, len(string_split(left(text, pos), chr(10))) AS line, length(string_split(left(text, pos), chr(10))[-1]) AS col FROM
+    (SELECT doc_id, text, ((doc_id * 7919) % (length(text) + 1))::INT AS pos FROM documents)""")
 def line_and_column(spark: SparkSession, d: str) -> DataFrame:
-    at = (F.col("doc_id") % 900).cast("int")
+    """Places over the whole of every text."""
+    at = ((F.col("doc_id") * 7919) % (F.length("text") + 1)).cast("int")
     return read(spark, d, "documents").select("doc_id", keys.line_of("text", at).alias("line"), keys.column_of("text", at).alias("col"))
 
 
@@ -631,6 +633,46 @@ def report_baseline(spark: SparkSession, d: str) -> DataFrame:
     return baseline_xml(_issues(spark, d))
 
 
+_PLACED = f"(SELECT *, (emit_ord % 9)::INT AS col_start, kind || ' <' || code || '>' AS message FROM {_ISSUES})"
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    found = _issues(spark, d).withColumn("col_start", (F.col("emit_ord") % 9).cast("int")).withColumn("message", F.format_string("%s <%s>", "kind", "code"))
+    return found.withColumn("line_end", F.col("line") + 1).withColumn("col_end", F.col("col_start") + 4)
+
+
+@query(f"SELECT file || ':' || line || ':' || col_start || ' ' || severity || '[' || code || '] ' || kind || ': ' || message AS value FROM {_PLACED}")
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.sources.sinks import text_lines
+
+    return text_lines(_placed(spark, d))
+
+
+@query(f"""WITH i AS (SELECT *, CASE severity WHEN 'error' THEN 'failure' WHEN 'warning' THEN 'warning' ELSE 'notice' END AS e, kind || ' &lt;' || code || '&gt;' AS m FROM {_PLACED}),
+    c AS (SELECT *, '    <testcase name="' || kind || '" classname="' || file || '">' || chr(10) || '      <' || e || ' message="' || m || '" type="' || kind || '">' || file || ':' || line || ':' || col_start || ' ' || severity
+        || ' ' || kind || ': ' || m || '</' || e || '>' || chr(10) || '    </testcase>' || chr(10) AS x FROM i)
+    SELECT file, '  <testsuite name="' || file || '" tests="' || count(*) || '" failures="' || (count(*) FILTER (WHERE severity = 'error')) || '">' || chr(10)
+        || string_agg(x, '' ORDER BY line, col_start, kind, x) || '  </testsuite>' || chr(10) AS value FROM c GROUP BY file""")
+def report_junit(spark: SparkSession, d: str) -> DataFrame:
+    from factweave.sources.sinks import junit_suites
+
+    return junit_suites(_placed(spark, d))
+
+
+@query(f"""SELECT emit_ord, kind AS rule, CASE severity WHEN 'info' THEN 'note' ELSE severity END AS level, CASE severity WHEN 'error' THEN 90.0 WHEN 'warning' THEN 95.0 ELSE 99.0 END::DOUBLE AS rank,
+    message AS text, file AS uri, '%SRCROOT%' AS base, line AS start_line, line + 1 AS end_line, col_start + 1 AS start_column, col_start + 5 AS end_column FROM {_PLACED}""")
+def report_sarif(spark: SparkSession, d: str) -> DataFrame:
+    """SARIF results taken apart again."""
+    from factweave.sources.sinks import sarif_results
+
+    rows = _placed(spark, d).withColumn("file", F.concat_ws("#", "file", "emit_ord"))
+    at = "$.locations[0].physicalLocation"
+    paths = {"rule": "$.ruleId", "level": "$.level", "rank": "$.rank", "text": "$.message.text", "uri": f"{at}.artifactLocation.uri", "base": f"{at}.artifactLocation.uriBaseId", "start_line": f"{at}.region.startLine", "end_line": f"{at}.region.endLine", "start_column": f"{at}.region.startColumn", "end_column": f"{at}.region.endColumn"}
+    kinds = {"rank": "double", "start_line": "int", "end_line": "int", "start_column": "int", "end_column": "int"}
+    out = sarif_results(rows).select(*[F.get_json_object("value", p).cast(kinds.get(name, "string")).alias(name) for name, p in paths.items()])
+    return out.withColumn("emit_ord", F.split_part("uri", F.lit("#"), F.lit(2)).cast("long")).withColumn("uri", F.split_part("uri", F.lit("#"), F.lit(1)))
+
+
 @query("SELECT user_id::VARCHAR AS path, sha256(arg_max(event_type || event_id, event_id)) AS content_hash FROM events GROUP BY user_id")
 def edit_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream of edits to users; what the table holds when the stream is used up."""

@@ -7,6 +7,7 @@ and binary ones callable from SQL under a prefix.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
@@ -57,9 +58,9 @@ builtin("shuffle")(lambda a: F.shuffle(a))
 builtin("count", "sizeof")(lambda a: F.size(a))
 builtin("array_search")(lambda v, a: F.when(F.array_contains(a, v), F.array_position(a, v) - 1))
 builtin("in_array")(lambda v, a: F.array_contains(a, v))
-builtin("sort", "asort", "ksort", "natsort", "natcasesort")(lambda a: F.sort_array(a))
-builtin("rsort", "arsort", "krsort")(lambda a: F.sort_array(a, asc=False))
-builtin("usort", "uasort", "uksort")(lambda a, f: F.array_sort(a, f))
+builtin("sort")(lambda a: F.sort_array(a))
+builtin("rsort")(lambda a: F.sort_array(a, asc=False))
+builtin("usort")(lambda a, f: F.array_sort(a, f))
 builtin("array_walk", "array_walk_recursive")(lambda a, f: F.transform(a, f))
 builtin("array_sum")(lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x))
 builtin("array_product")(lambda a: F.aggregate(a, F.lit(1.0), lambda s, x: s * x))
@@ -109,6 +110,28 @@ builtin("array_merge_recursive")(lambda a, b: F.map_zip_with(a, b, lambda _, x,
 builtin("array_replace")(lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
 builtin("compact")(lambda **named: F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]))
 
+# sorts of maps keep each key with its value
+builtin("ksort")(lambda m: _ordered(m, lambda e: F.struct(e["key"])))
+builtin("krsort")(lambda m: _ordered(m, lambda e: F.struct(e["key"]), up=False))
+builtin("asort")(lambda m: _ordered(m, lambda e: F.struct(e["value"])))
+builtin("arsort")(lambda m: _ordered(m, lambda e: F.struct(e["value"]), up=False))
+builtin("natsort")(lambda m: _ordered(m, lambda e: F.struct(_natural(e["value"]))))
+builtin("natcasesort")(lambda m: _ordered(m, lambda e: F.struct(_natural(F.lower(e["value"])))))
+builtin("uasort")(lambda m, f: F.map_from_entries(F.array_sort(F.map_entries(m), lambda x, y: f(x["value"], y["value"]))))
+builtin("uksort")(lambda m, f: F.map_from_entries(F.array_sort(F.map_entries(m), lambda x, y: f(x["key"], y["key"]))))
+
+
+def _ordered(m: Column, by: Callable[[Column], Column], up: bool = True) -> Column:
+    """The map in order of ``by``; equal entries stay in their order."""
+    placed = F.transform(F.map_entries(m), lambda e, i: F.struct(by(e).alias("by"), (i if up else -i).alias("i"), e.alias("e")))
+    return F.map_from_entries(F.transform(F.sort_array(placed, asc=up), lambda p: p["e"]))
+
+
+def _natural(s: Column) -> Column:
+    """Runs of digits by their number, all else by code points."""
+    return F.transform(F.regexp_extract_all(s, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("0"), F.lpad(F.regexp_replace(x, "^0+", ""), 40, "0"))).otherwise(x))
+
+
 # --- texts
 builtin("strlen")(lambda s: F.octet_length(s))
 builtin("mb_strlen")(lambda s: F.length(s))
@@ -127,13 +150,12 @@ builtin("str_repeat")(lambda s, n: F.repeat(s, _l(n)))
 builtin("str_contains")(lambda s, x: F.contains(s, _l(x)))
 builtin("str_starts_with")(lambda s, x: F.startswith(s, _l(x)))
 builtin("str_ends_with")(lambda s, x: F.endswith(s, _l(x)))
-builtin("strpos", "mb_strpos")(lambda s, x: F.when(F.contains(s, _l(x)), F.position(_l(x), s) - 1))
-builtin("substr", "mb_substr")(lambda s, at, n=None: F.substring(s, F.when(_l(at) >= 0, _l(at) + 1).otherwise(_l(at)).cast("int"), F.length(s) if n is None else _l(n)))
+builtin("strpos")(lambda s, x: F.when(F.contains(s, _l(x)), F.octet_length(F.substring(s, F.lit(1), F.position(_l(x), s) - 1))))
+builtin("mb_strpos")(lambda s, x: F.when(F.contains(s, _l(x)), F.position(_l(x), s) - 1))
+builtin("mb_substr")(lambda s, at, n=None: F.substring(s, F.when(_l(at) >= 0, _l(at) + 1).otherwise(_l(at)).cast("int"), F.length(s) if n is None else _l(n)))
 builtin("substr_replace")(lambda s, put, at, n: F.overlay(s, _l(put), _l(at) + 1, _l(n)))
 builtin("str_replace")(lambda a, b, s: F.replace(s, _l(a), _l(b)))
-builtin("sprintf")(lambda form, *a: F.format_string(form, *a))
-builtin("vsprintf")(lambda form, *a: F.format_string(form, *a))
-builtin("number_format")(lambda x, n=0: F.format_number(x, n))
+builtin("number_format")(lambda x, n=0: F.format_number(F.round(x, n) + F.lit(0), n))  # halves away from zero, no negative zero
 builtin("htmlspecialchars", "htmlentities")(lambda s: _chain(s, ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")))
 builtin("htmlspecialchars_decode", "html_entity_decode")(lambda s: _chain(s, ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&amp;", "&")))
 builtin("addslashes")(lambda s: F.regexp_replace(s, r"(['\"\\])", r"\\$1"))
@@ -154,10 +176,10 @@ builtin("chunk_split")(lambda s, n=76, end="\r\n": F.regexp_replace(s, f"(?s)(.{
 builtin("wordwrap")(lambda s, n=75: F.regexp_replace(s, f"(.{{1,{n}}})(?: |$)", "$1\n").substr(F.lit(1), F.length(s)))
 builtin("count_chars")(lambda s: array_count_values(F.filter(F.split(s, ""), lambda c: c != "")))
 builtin("mb_convert_encoding", "iconv")(lambda s, to: F.encode(s, to))
-builtin("preg_match")(lambda pattern, s: F.regexp_like(s, F.lit(pattern)).cast("int"))
-builtin("preg_match_all")(lambda pattern, s: F.regexp_extract_all(s, F.lit(pattern), F.lit(0)))
-builtin("preg_replace", "preg_replace_callback")(lambda pattern, put, s: F.regexp_replace(s, pattern, put))
-builtin("preg_split")(lambda pattern, s: F.split(s, pattern))
+builtin("preg_match")(lambda pattern, s: F.regexp_like(s, F.lit(_pattern(pattern))).cast("int"))
+builtin("preg_match_all")(lambda pattern, s: F.regexp_extract_all(s, F.lit(_pattern(pattern)), F.lit(0)))
+builtin("preg_replace")(lambda pattern, put, s: F.regexp_replace(s, _pattern(pattern), re.sub(r"\\(\d)|\$\{(\d+)\}", lambda m: "$" + (m[1] or m[2]), put)))
+builtin("preg_split")(lambda pattern, s: F.split(s, _pattern(pattern)))
 builtin("levenshtein")(lambda a, b: F.levenshtein(a, b))
 builtin("soundex")(lambda s: F.soundex(s))
 
@@ -166,7 +188,7 @@ builtin("abs")(lambda x: F.abs(x))
 builtin("floor")(lambda x: F.floor(x))
 builtin("ceil")(lambda x: F.ceil(x))
 builtin("round")(lambda x, n=0: F.round(x, n))
-builtin("intdiv")(lambda a, b: F.when(_l(b) != 0, ((a - a % _l(b)) / _l(b)).cast("long")))
+builtin("intdiv")(lambda a, b: F.when(_l(b) != 0, F.call_function("div", a, _l(b))))
 builtin("fmod")(lambda a, b: F.try_mod(a, _l(b)))
 builtin("min")(lambda *a: F.array_min(a[0]) if len(a) == 1 else F.least(*a))
 builtin("max")(lambda *a: F.array_max(a[0]) if len(a) == 1 else F.greatest(*a))
@@ -194,6 +216,68 @@ def filter_var(s: Column, kind: str = "int") -> Column:
     return F.when(text.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"), text)
 
 
+@builtin("substr")
+def substr(s: Column, at, n=None) -> Column:
+    """Bytes from a 0-based offset, negative from the end; a negative length leaves so many bytes at the end out."""
+    raw = F.encode(s, "UTF-8")
+    size = F.octet_length(raw)
+    start = F.when(_l(at) >= 0, F.least(_l(at), size)).otherwise(F.greatest(size + _l(at), F.lit(0)))
+    rest = size - start if n is None else F.when(_l(n) >= 0, _l(n)).otherwise(F.greatest(size + _l(n) - start, F.lit(0)))
+    return F.substring(raw, (start + 1).cast("int"), rest.cast("int")).cast("string")
+
+
+@builtin("preg_replace_callback")
+def preg_replace_callback(pattern: str, f: Callable[[Column], Column], s: Column) -> Column:
+    """Each match, which must not be empty, as ``f`` makes it."""
+    found = F.transform(F.regexp_extract_all(s, F.lit(f"({_pattern(pattern)})"), F.lit(1)), f)
+    return F.array_join(F.zip_with(F.split(s, _pattern(pattern), -1), F.concat(found, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+
+
+def _pattern(pattern: str) -> str:
+    """A pattern in delimiters with flags as one with inline flags; one without delimiters stays."""
+    m = re.fullmatch(r"(?s)([/#~@%!|{(\[<])(.*)([/#~@%!|})\]>])([imsxuUD]*)", pattern)
+    if not m or m[3] != {"{": "}", "(": ")", "[": "]", "<": ">"}.get(m[1], m[1]) or (m[1] in "([{<" and not m[4] and m[1] != "{"):
+        return pattern
+    flags = "".join(sorted(set(m[4]) & set("imsx"))) + ("uU" if "u" in m[4] else "")
+    return (f"(?{flags})" if flags else "") + m[2].replace("\\" + m[1], m[1] if m[1] not in ".|()[]{}" else "\\" + m[1])
+
+
+@builtin("sprintf", "vsprintf")
+def sprintf(form: str, *args: Column) -> Column:
+    """Directives %[n$][+][-][0 or 'c][width][.digits]type with the types b c d e f F o s u x X and %%."""
+    out, taken, last = [], 0, 0
+    for m in re.finditer(r"%(?:(\d+)\$)?(\+)?(-)?(0|'.)?(-)?(\d+)?(?:\.(\d+))?([bcdeEfFosuxX%])", form):
+        out.append(F.lit(form[last : m.start()]))
+        last = m.end()
+        kind = m[8]
+        if kind == "%":
+            out.append(F.lit("%"))
+            continue
+        at = int(m[1]) - 1 if m[1] else taken
+        taken += not m[1]
+        x, digits = _l(args[at]), int(m[7]) if m[7] else 6
+        whole = x.cast("long")
+        text = {
+            "b": lambda: F.bin(whole), "c": lambda: F.char(whole), "o": lambda: F.conv(whole.cast("string"), 10, 8), "u": lambda: F.conv(whole.cast("string"), 10, 10), "d": lambda: whole.cast("string"),
+            "x": lambda: F.lower(F.hex(whole)), "X": lambda: F.hex(whole), "s": lambda: x.cast("string") if m[7] is None else F.substring(x.cast("string"), 1, digits),
+        }.get(kind, lambda: F.format_string(f"%.{digits}f", F.round(x.cast("double"), digits)) if kind in "fF" else F.regexp_replace(F.format_string(f"%.{digits}{kind}", x.cast("double")), r"([eE][+-])0+(\d)", "$1$2"))()
+        signed = kind in "deEfF"
+        if m[2] and signed:
+            text = F.when(F.startswith(text, F.lit("-")), text).otherwise(F.concat(F.lit("+"), text))
+        if m[6]:
+            width, fill = int(m[6]), (m[4] or " ")[-1]
+            if m[3] or m[5]:
+                padded = F.rpad(text, width, " " if fill == "0" and signed else fill)
+            elif fill == "0" and signed:
+                sign = F.regexp_extract(text, "^[+-]?", 0)
+                padded = F.concat(sign, F.lpad(F.regexp_replace(text, "^[+-]", ""), F.lit(width) - F.length(sign), F.lit("0")))
+            else:
+                padded = F.lpad(text, width, fill)
+            text = F.when(F.length(text) >= width, text).otherwise(padded)
+        out.append(text)
+    return F.concat(*out, F.lit(form[last:]))
+
+
 #: Date letters and their pattern letters (fixed values).
 DATE = {"Y": "yyyy", "y": "yy", "m": "MM", "n": "M", "d": "dd", "j": "d", "H": "HH", "G": "H", "h": "hh", "g": "h", "i": "mm", "s": "ss", "A": "a", "D": "EEE", "l": "EEEE", "M": "MMM", "F": "MMMM"}
 

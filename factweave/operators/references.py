@@ -106,27 +106,34 @@ def range_lookup(points: DataFrame, at: Column, spans: DataFrame, start: Column,
     return p.join(s, "__bin").filter("__start <= __at and __at < __end").drop("__bin", "__at", "__start", "__end")
 
 
-def longest_prefix(items: DataFrame, item: str, prefixes: DataFrame, prefix: str, separator: str = "/") -> DataFrame:
-    """Items with the longest prefix that matches them (null: none).
+def prefix_matches(items: DataFrame, item: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """(``item``, ``prefix``): every prefix that an item starts with, the empty one included.
 
-    An equi-join: an item is tried under its own prefixes that end at a separator, so no pair of item and prefix is compared.
+    An equi-join: an item is tried under its beginnings of the lengths that prefixes have, so no pair of item and prefix is
+    compared, and an item costs as many rows as there are lengths up to its own.
     """
-    cuts = F.transform(F.sequence(F.lit(1), F.length(item)), lambda n: F.substring(F.col(item), F.lit(1), n))
-    ends = F.filter(cuts, lambda s: F.endswith(s, F.lit(separator)) | (s == F.col(item)))
-    tried = items.select(item, F.explode_outer(ends).alias(prefix)).distinct()
-    hit = tried.join(prefixes.select(prefix).distinct(), prefix).groupBy(item).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
+    known = prefixes.select(F.col(prefix).alias("__prefix"), F.length(prefix).alias("__n")).filter("__prefix is not null").distinct()
+    lengths = [r["__n"] for r in known.select("__n").distinct().orderBy("__n").collect()]  # as many as the longest prefix is long, at most
+    tried = items.select(F.col(item).alias("__item")).filter("__item is not null").distinct()
+    tried = tried.select("__item", F.explode(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("__item"))).alias("__n"))
+    hit = tried.withColumn("__prefix", F.substring(F.col("__item"), F.lit(1), F.col("__n"))).join(known.select("__prefix"), "__prefix")
+    return hit.select(F.col("__item").alias(item), F.col("__prefix").alias(prefix))
+
+
+def longest_prefix(items: DataFrame, item: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """Items with the longest prefix that they start with (null: none)."""
+    hit = prefix_matches(items, item, prefixes, prefix).groupBy(item).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
     return items.join(hit, item, "left")
 
 
 def autoload(names: DataFrame, rules: DataFrame, files: DataFrame, classmap: DataFrame) -> DataFrame:
     """(fqcn, path) by the first rule that leads to an existing file.
 
-    ``rules``: scheme ('psr-4', 'psr-0'), is_project, prefix, dir. Order: psr-4 before psr-0 before ``classmap`` (fqcn, path),
+    ``rules``: scheme ('psr-4', 'psr-0'), is_project, prefix, dir. A rule holds for all names that start with its prefix,
+    whatever sign it ends in. Order: psr-4 before psr-0 before ``classmap`` (fqcn, path),
     project before vendor, longer prefixes first.
     """
-    parts = F.split(F.col("fqcn"), r"\\")
-    prefixes = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "\\"), F.when(n < F.size(parts), F.lit("\\")).otherwise(F.lit("")))))
-    tried = names.select("fqcn", F.explode(prefixes).alias("prefix")).join(rules, "prefix")
+    tried = prefix_matches(names, "fqcn", rules, "prefix").join(rules, "prefix")
     rest = F.substring(F.col("fqcn"), F.length("prefix") + 1, F.length("fqcn"))
     base = F.concat(F.regexp_replace("dir", "/$", ""), F.lit("/"))
     psr4 = F.concat(base, F.replace(rest, F.lit("\\"), F.lit("/")), F.lit(".php"))

@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.functions.keys import fnv1a, xml_escape
+from factweave.operators.catalogue import RULES
 
 #: Levels of the continuous-integration format and of SARIF, and SARIF's ranks (fixed values).
 CI_LEVEL = {"error": "error", "warning": "warning", "info": "notice"}
 SARIF_LEVEL = {"error": "error", "warning": "warning", "info": "note"}
-SARIF_RANK = {"error": 99.0, "warning": 95.0, "info": 90.0}
+SARIF_RANK = {"error": 90.0, "warning": 95.0, "info": 99.0}
+#: Element names of the JUnit format (fixed values).
+JUNIT_ELEMENT = {"error": "failure", "warning": "warning", "info": "notice"}
+SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
 
 
 def _map(table: dict, key: Column) -> Column:
@@ -22,8 +26,8 @@ def _map(table: dict, key: Column) -> Column:
 
 
 def text_lines(issues: DataFrame) -> DataFrame:
-    """``file:line:col: severity kind: message`` per issue."""
-    return issues.select(F.format_string("%s:%d:%d: %s %s: %s", "file", "line", "col_start", "severity", "kind", "message").alias("value"))
+    """``file:line:col severity[code] kind: message`` per issue."""
+    return issues.select(F.format_string("%s:%d:%d %s[%s] %s: %s", "file", "line", "col_start", "severity", "code", "kind", "message").alias("value"))
 
 
 def ci_lines(issues: DataFrame) -> DataFrame:
@@ -38,13 +42,31 @@ def json_lines(issues: DataFrame) -> DataFrame:
 
 
 def junit_suites(issues: DataFrame) -> DataFrame:
-    """(file, value): one XML test suite per file."""
-    case = F.format_string(
-        '<testcase name="%s:%d"><failure type="%s" message="%s"/></testcase>', xml_escape("kind"), F.col("line"), xml_escape("severity"), xml_escape("message")
+    """(file, value): one XML test suite per file; errors alone count as failures. Cases are in order of line, column and kind."""
+    element = _map(JUNIT_ELEMENT, F.col("severity"))
+    place = xml_escape(F.format_string("%s:%d:%d %s %s: %s", "file", "line", "col_start", "severity", "kind", "message"))
+    head = F.format_string('    <testcase name="%s" classname="%s">\n', xml_escape("kind"), xml_escape("file"))
+    case = F.concat(head, F.format_string('      <%s message="%s" type="%s">%s</%s>\n    </testcase>\n', element, xml_escape("message"), xml_escape("kind"), place, element))
+    made = issues.groupBy("file").agg(
+        F.sort_array(F.collect_list(F.struct("line", "col_start", "kind", case.alias("x")))).alias("cases"), F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("failures")
     )
-    made = issues.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "col_start", "kind", case.alias("x")))).alias("cases"), F.count("*").alias("n"))
     body = F.array_join(F.transform("cases", lambda c: c["x"]), "")
-    return made.select("file", F.format_string('<testsuite name="%s" tests="%d" failures="%d">%s</testsuite>', xml_escape("file"), "n", "n", body).alias("value"))
+    return made.select("file", F.format_string('  <testsuite name="%s" tests="%d" failures="%d">\n%s  </testsuite>\n', xml_escape("file"), "n", "failures", body).alias("value"))
+
+
+def _framed(head: DataFrame, rows: DataFrame, tail: str, path: str) -> None:
+    """Text files of ``head`` (value), ``rows`` (key, value) in order of key, and ``tail``."""
+    last = rows.sparkSession.createDataFrame([(tail,)], "value string")
+    whole = head.select(F.lit(0).alias("part"), F.lit("").alias("key"), "value").unionByName(rows.select(F.lit(1).alias("part"), "key", "value")).unionByName(last.select(F.lit(2).alias("part"), F.lit("").alias("key"), "value"))
+    line = F.regexp_replace("value", "\n$", "").alias("value")
+    whole.repartitionByRange("part", "key").sortWithinPartitions("part", "key", "value").select(line).write.mode("overwrite").text(path)
+
+
+def write_junit(issues: DataFrame, path: str, name: str) -> None:
+    """The whole report as text files whose contents follow one another."""
+    counts = issues.agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "error").alias("f"))
+    head = counts.select(F.format_string('<?xml version="1.0" encoding="UTF-8"?>\n<testsuites name="%s" tests="%d" failures="%d">\n', xml_escape(F.lit(name)), "n", "f").alias("value"))
+    _framed(head, junit_suites(issues).withColumnRenamed("file", "key"), "</testsuites>\n", path)
 
 
 def fingerprint(issues: DataFrame) -> Column:
@@ -53,32 +75,52 @@ def fingerprint(issues: DataFrame) -> Column:
 
 
 def sarif_results(issues: DataFrame) -> DataFrame:
-    """One SARIF result per issue, as JSON."""
-    region = F.struct(F.col("line").alias("startLine"), (F.col("col_start") + 1).alias("startColumn"), F.col("line_end").alias("endLine"), (F.col("col_end") + 1).alias("endColumn"))
-    place = F.array(F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
+    """One SARIF result per issue, as JSON. Columns count from 1."""
+    region = F.struct(F.col("line").alias("startLine"), F.col("line_end").alias("endLine"), (F.col("col_start") + 1).alias("startColumn"), (F.col("col_end") + 1).alias("endColumn"))
+    where = F.struct(F.col("file").alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId"))
     result = F.struct(
-        F.col("code").alias("ruleId"),
+        F.col("kind").alias("ruleId"),
         _map(SARIF_LEVEL, F.col("severity")).alias("level"),
+        _map(SARIF_RANK, F.col("severity")).alias("rank"),
         F.struct(F.col("message").alias("text")).alias("message"),
-        place.alias("locations"),
         F.struct(fingerprint(issues).alias("primaryLocationLineHash")).alias("partialFingerprints"),
-        _map(SARIF_RANK, F.col("severity")).alias("rank"),
+        F.array(F.struct(F.struct(where.alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))).alias("locations"),
     )
     return issues.select(F.to_json(result).alias("value"))
 
 
-def sarif_rules(issues: DataFrame) -> DataFrame:
-    """(id, name) of the rules that occur, by id."""
-    return issues.select(F.col("code").alias("id"), F.col("kind").alias("name")).distinct().orderBy("id")
+def sarif_rules(issues: DataFrame, uri: str = "") -> DataFrame:
+    """(id, value): the rules that occur, as JSON, with the severity that the catalogue gives them, else the first one seen."""
+    usual = F.create_map(*[F.lit(x) for k, (_, level) in RULES.items() for x in (k, level)])
+    rows = issues.groupBy(F.col("kind").alias("id")).agg(F.min("severity").alias("seen"))
+    level = _map(SARIF_LEVEL, F.coalesce(usual[F.col("id")], F.col("seen")))
+    tag = F.when(F.startswith("id", F.lit("Tainted")), "security").otherwise("maintainability")
+    about = F.struct(
+        "id", F.col("id").alias("name"), F.struct(F.col("id").alias("text")).alias("shortDescription"), F.lit(uri).alias("helpUri"), F.struct(level.alias("level")).alias("defaultConfiguration"), F.struct(F.array(tag).alias("tags")).alias("properties")
+    )
+    return rows.select("id", F.to_json(about).alias("value"))
+
+
+def write_sarif(issues: DataFrame, path: str, tool: str, uri: str = "") -> None:
+    """The whole log as text files whose contents follow one another. Rules are gathered (one row a kind), results are not."""
+    import json
+
+    rules = [json.loads(r["value"]) for r in sarif_rules(issues, uri).orderBy("id").collect()]
+    start = json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "informationUri": uri, "rules": rules}}, "results": []}]})
+    at = start.rindex("[]") + 1
+    results = sarif_results(issues).distinct()
+    least = results.agg(F.min("value")).first()[0]  # the first result has no comma before it
+    rows = results.select(F.col("value").alias("key"), F.concat(F.when(F.col("value") == F.lit(least), "").otherwise(",\n"), "value").alias("value"))
+    _framed(issues.sparkSession.createDataFrame([(start[:at],)], "value string"), rows, start[at:] + "\n", path)
 
 
-def sarif(issues: DataFrame, tool: str) -> str:
-    """A whole SARIF log as text on the driver; use :func:`sarif_results` for large reports."""
+def sarif(issues: DataFrame, tool: str, uri: str = "") -> str:
+    """A whole SARIF log as text on the driver; use :func:`write_sarif` for large reports."""
     import json
 
-    rules = [r.asDict() for r in sarif_rules(issues).toLocalIterator()]
+    rules = [json.loads(r["value"]) for r in sarif_rules(issues, uri).orderBy("id").toLocalIterator()]
     results = [json.loads(r["value"]) for r in sarif_results(issues).toLocalIterator()]
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]}, indent=2)
+    return json.dumps({"$schema": SARIF_SCHEMA, "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "informationUri": uri, "rules": rules}}, "results": results}]}, indent=2)
 
 
 def baseline_xml(issues: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from factweave.operators.kernel import analyse_scopes, run_scope
 from factweave.plugins import Plugin, Registry
 from factweave.sources.cache import ResultCache
 from factweave.sources.files import TextSource, autoload_rules, baseline, scan
-from factweave.sources.sinks import ci_lines, json_lines, junit_suites, sarif, text_lines, write_baseline
+from factweave.sources.sinks import ci_lines, json_lines, junit_suites, sarif, text_lines, write_baseline, write_junit, write_sarif
 
 
 def run(*ops):
@@ -103,13 +103,76 @@ def test_sources_and_sinks(spark, tmp_path):
     assert rules.count() == 3
     issue = ("UnusedX", "0001", "info", "s/a.php", 3, 4, 0, 7, "50% <b>\nx", 'say "a" & b')
     rows = spark.createDataFrame([issue, issue[:3] + ("z.php",) + issue[4:-1] + (None,)], "kind string, code string, severity string, file string, line int, line_end int, col_start int, col_end int, message string, snippet string")
-    assert text_lines(rows).first()[0] == "s/a.php:3:0: info UnusedX: 50% <b>\nx"
+    assert text_lines(rows).first()[0] == "s/a.php:3:0 info[0001] UnusedX: 50% <b>\nx"
     assert ci_lines(rows).first()[0] == "::notice file=s/a.php,line=3,col=1::UnusedX: 50%25 <b>%0Ax"
     assert '"kind":"UnusedX"' in json_lines(rows).first()[0]
     assert 'message="50% &lt;b&gt;' in junit_suites(rows).filter("file = 'z.php'").first().value
     log = __import__("json").loads(sarif(rows, "factweave"))
-    assert log["runs"][0]["results"][0]["rank"] == 90.0 and log["runs"][0]["tool"]["driver"]["rules"] == [{"id": "0001", "name": "UnusedX"}]
+    (rule,) = log["runs"][0]["tool"]["driver"]["rules"]
+    assert log["runs"][0]["results"][0]["rank"] == 99.0 and rule["id"] == rule["name"] == "UnusedX" and rule["defaultConfiguration"] == {"level": "note"} and rule["properties"] == {"tags": ["maintainability"]}
+    for few in (rows, rows.limit(0)):
+        write_sarif(few, str(tmp_path / "sarif"), "tool")
+        text = "".join(p.read_text() for p in sorted((tmp_path / "sarif").glob("part-*")))
+        assert len(__import__("json").loads(text)["runs"][0]["results"]) == few.count()
+        write_junit(few, str(tmp_path / "junit"), "t")
+        whole = "".join(p.read_text() for p in sorted((tmp_path / "junit").glob("part-*")))
+        assert [s.get("failures") for s in __import__("xml.etree.ElementTree", fromlist=["x"]).fromstring(whole).iter("testsuite")] == ["0"] * few.count()
     write_baseline(rows, str(tmp_path / "base"))
     whole = "\n".join(p.read_text() for p in sorted((tmp_path / "base").glob("part-*")))
     (tmp_path / "base.xml").write_text(whole)
     assert sorted((r.file, r["kind"], r.snippet) for r in baseline(spark, str(tmp_path / "base.xml")).collect()) == [("s/a.php", "UnusedX", 'say "a" & b'), ("z.php", "UnusedX", "")]
+
+
+def test_value_functions_at_their_edges(spark):
+    from pyspark.sql import functions as F
+
+    from factweave.functions.builtins import BUILTINS as B
+
+    row = spark.range(1).select(F.lit("éa").alias("s"), F.lit(9007199254740993).alias("big"), F.lit(-5).alias("n"), F.lit(1234.5).alias("x"), F.create_map(*map(F.lit, ("b", "img12", "c", "img2", "a", "IMG10"))).alias("m"))
+    s, big, n, x, m = (F.col(c) for c in ("s", "big", "n", "x", "m"))
+    cases = [
+        (B["strpos"](s, "a"), 2), (B["mb_strpos"](s, "a"), 1), (B["strpos"](s, "z"), None), (B["strlen"](s), 3), (B["substr"](s, 2), "a"), (B["substr"](s, -1), "a"), (B["substr"](s, 0, -1), "é"), (B["mb_substr"](s, 1), "a"),
+        (B["intdiv"](big, 1), 9007199254740993), (B["intdiv"](n, 2), -2), (B["intdiv"](n, 0), None), (B["number_format"](F.lit(0.5)), "1"), (B["number_format"](F.lit(-0.4)), "0"), (B["number_format"](x, 1), "1,234.5"),
+        (F.map_keys(B["ksort"](m)), ["a", "b", "c"]), (F.map_keys(B["krsort"](m)), ["c", "b", "a"]), (F.map_keys(B["asort"](m)), ["a", "b", "c"]), (F.map_keys(B["arsort"](m)), ["c", "b", "a"]), (F.map_keys(B["natsort"](m)), ["a", "c", "b"]), (F.map_keys(B["natcasesort"](m)), ["c", "a", "b"]),
+        (B["preg_match"]("/^É/iu", s), 1), (B["preg_match"]("^a", s), 0), (B["preg_replace"]("~(a)~", "<\\1>", s), "é<a>"), (B["preg_replace_callback"]("/[a-z]/", lambda c: F.upper(c), F.lit("a1b2")), "A1B2"),
+        (B["sprintf"]("%05d|%5s|%-5s|%'*7.2f|%x|%b|%%|%2$s|%+d", n, s, s, x, F.lit(255), F.lit(5), F.lit(3)), "-0005|   éa|éa   |1234.50|ff|101|%|éa|+3"), (B["sprintf"]("%e", x), "1.234500e+3"),
+    ]
+    got = row.select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
+    for have, (_, want) in zip(got, cases, strict=True):
+        assert have == want
+
+
+def test_prefixes_of_any_ending(spark):
+    from factweave.operators import references
+
+    items = spark.createDataFrame([("Twig_Env",), ("Twig",), ("",), (None,), ("A\\B\\C",)], "x string")
+    rules = spark.createDataFrame([("Twig_",), ("A\\",), ("A\\B",), ("Tw",), (None,)], "p string")
+    got = {r.x: r.p for r in references.longest_prefix(items, "x", rules, "p").collect()}
+    assert got == {"Twig_Env": "Twig_", "Twig": "Tw", "": None, None: None, "A\\B\\C": "A\\B"}
+    names, files = items.filter("x = 'Twig_Env'").toDF("fqcn"), spark.createDataFrame([("lib/Twig/Env.php",)], "path string")
+    psr0 = spark.createDataFrame([("psr-0", False, "Twig_", "lib")], "scheme string, is_project boolean, prefix string, dir string")
+    assert [tuple(r) for r in references.autoload(names, psr0, files, spark.createDataFrame([], "fqcn string, path string")).collect()] == [("Twig_Env", "lib/Twig/Env.php")]
+
+
+def test_cycles_equal_mutual_reachability(spark):
+    import random
+
+    from factweave.plans import closure
+
+    rng = random.Random(6)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(45)} | {(100 + i, 101 + i) for i in range(20)} | {(120, 110), (200, 200), (300, 301), (301, 300), (301, 302)}
+    reach = {a: {b for x, b in edges if x == a} for a, _ in edges}
+    for _ in range(60):
+        reach = {a: bs | {c for b in bs for c in reach.get(b, ())} for a, bs in reach.items()}
+    want = {a: max(b for b in bs if a in reach.get(b, ())) for a, bs in reach.items() if a in bs}
+    assert dict(map(tuple, closure.cycles(spark.createDataFrame(sorted(edges), "src long, dst long")).collect())) == want
+
+
+def test_deltas_of_null_keys_and_walks_of_many_children(spark):
+    from factweave.operators.index import symbol_delta
+    from factweave.plans import closure
+
+    a, b = (spark.createDataFrame(rows, "k string") for rows in ([(None,), ("x",)], [(None,), ("y",)]))
+    assert sorted(map(tuple, symbol_delta(a, b, "k").collect())) == [("x", "deleted"), ("y", "added")]
+    edges = spark.createDataFrame([("r", "late", 12345), ("r", "soon", 9000)], "src string, dst string, ord int")
+    assert [r.node for r in closure.linearised(edges, spark.createDataFrame([("r",)], "start string")).orderBy("rank").collect()] == ["r", "soon", "late"]
