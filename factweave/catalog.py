@@ -633,6 +633,51 @@ def report_baseline(spark: SparkSession, d: str) -> DataFrame:
     return baseline_xml(_issues(spark, d))
 
 
+#: Symbols that the generated program uses and does not declare.
+_STUBS = """<?php
+function is_array(mixed $value): bool {}
+/** @since 7.3 */ function array_key_last(array $array): mixed {}
+/** @removed 8.0 */ function each(array &$array): array {}
+/** @since 9.1 */ function later(): void {}
+class DOMDocument { public function load(string $path, int $options = 0): bool {} }
+"""
+
+
+def _program(spark: SparkSession, d: str) -> DataFrame:
+    """A class a part, with a parent in every ten, and calls of what exists or not."""
+    k = F.col("p_partkey")
+    parent = k - k % 10
+    head = F.when(k % 10 != 0, F.format_string("class C%d extends C%d", k, parent)).otherwise(F.concat(F.when(k % 20 == 0, "final ").otherwise(""), F.format_string("class C%d", k)))
+    body = F.format_string(
+        "private function idle(): void {} public function run(array $x): void { if (is_array($x)) { helper%d(); } new Gone%d(); each($x); $y = 1; (new DOMDocument())->load('a'); array_key_last(); self::go(); self::GO; }", k % 5, k
+    )
+    files = read(spark, d, "part").select(F.format_string("p%d.php", k).alias("path"), F.concat(F.lit("<?php\n"), head, F.lit(" {\n"), body, F.lit(" }\n")).alias("text"))
+    return files.unionByName(spark.createDataFrame([("helpers.php", "<?php\nfunction helper0(): void {}\nfunction helper1(): void {}\nfunction helper2(): void {}\n")], "path string, text string"))
+
+
+_RULES = ("UndefinedClass", "UndefinedFunction", "UndefinedMethod", "UndefinedConstant", "UnusedMethod", "UnusedVariable", "InvalidExtendClass", "TooFewArguments", "UnusedFunction")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, 'p' || p_partkey || '.php' AS file, p_partkey - p_partkey % 10 AS parent FROM part),
+    c AS (SELECT p.*, q.k IS NOT NULL OR p.k % 10 = 0 AS closed FROM p LEFT JOIN p AS q ON p.parent = q.k)
+    SELECT 'UndefinedClass' AS kind, file, 3 AS line, 'Class Gone' || k || ' does not exist' AS message FROM c
+    UNION ALL SELECT 'UndefinedClass', file, 2, 'Class C' || parent || ' does not exist' FROM c WHERE NOT closed
+    UNION ALL SELECT 'UndefinedFunction', file, 3, 'Function each() is not defined' FROM c
+    UNION ALL SELECT 'UndefinedFunction', file, 3, 'Function helper' || k % 5 || '() is not defined' FROM c WHERE k % 5 > 2
+    UNION ALL SELECT 'UndefinedMethod', file, 3, 'Method C' || k || '::go() does not exist' FROM c WHERE closed
+    UNION ALL SELECT 'UndefinedConstant', file, 3, 'Constant C' || k || '::GO is not defined' FROM c WHERE closed
+    UNION ALL SELECT 'UnusedMethod', file, 3, 'Private method C' || k || '::idle() is never called' FROM c
+    UNION ALL SELECT 'UnusedVariable', file, 3, 'Variable $y is never read' FROM c
+    UNION ALL SELECT 'TooFewArguments', file, 3, 'Too few arguments for array_key_last(): expected 1, got 0' FROM c
+    UNION ALL SELECT 'InvalidExtendClass', file, 2, 'Class C' || k || ' cannot extend final class C' || parent FROM c WHERE k % 10 > 0 AND closed AND parent % 20 = 0""")
+def rules_over_program(spark: SparkSession, d: str) -> DataFrame:
+    """Extraction, stubs and rules over a program with a class a part."""
+    from factweave.operators.rules import analyse
+
+    stubs = spark.createDataFrame([("core.php", _STUBS)], "path string, text string")
+    return analyse(_program(spark, d), only=_RULES, stubs=stubs).select("kind", "file", "line", "message")
+
+
 _PLACED = f"(SELECT *, (emit_ord % 9)::INT AS col_start, kind || ' <' || code || '>' AS message FROM {_ISSUES})"
 
 
