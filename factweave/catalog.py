@@ -651,11 +651,25 @@ def _program(spark: SparkSession, d: str) -> DataFrame:
     body = F.format_string(
         "private function idle(): void {} public function run(array $x): void { if (is_array($x)) { helper%d(); } new Gone%d(); each($x); $y = 1; (new DOMDocument())->load('a'); array_key_last(); self::go(); self::GO; }", k % 5, k
     )
-    files = read(spark, d, "part").select(F.format_string("p%d.php", k).alias("path"), F.concat(F.lit("<?php\n"), head, F.lit(" {\n"), body, F.lit(" }\n")).alias("text"))
+    files = read(spark, d, "part").select(F.format_string("p%d.php", k).alias("path"), F.concat(F.lit("<?php\n"), head, F.lit(" {\n"), body, F.lit(" }\n"), F.replace(F.lit(_MORE), F.lit("#"), k.cast("string"))).alias("text"))
     return files.unionByName(spark.createDataFrame([("helpers.php", "<?php\nfunction helper0(): void {}\nfunction helper1(): void {}\nfunction helper2(): void {}\n")], "path string, text string"))
 
 
-_RULES = ("UndefinedClass", "UndefinedFunction", "UndefinedMethod", "UndefinedConstant", "UnusedMethod", "UnusedVariable", "InvalidExtendClass", "TooFewArguments", "UnusedFunction")
+#: Lines 4 to 14 of a part's file; # is its key.
+_MORE = """enum E#: int { case A = 'x'; }
+class U# { use E#; public function __toString(): int { return 1; } }
+class S# { public function m(): void {} public static function s(): void { self::m(); } }
+function g#(): array { return ['a' => 1, 'a' => 2]; echo 1; }
+echo (function () { return 1; })();
+abstract class Q# { abstract public function r(): void; } new Q#();
+interface F# { public function need(): void; } class G# implements F# {}
+class V# { private int $b = 1; }
+class W# { private const P = 1; } echo W#::P;
+function d#(int $p): void {}
+d#(1, 2);
+"""
+_RULES = ("BackedEnumCaseTypeMismatch", "InvalidTraitUse", "InvalidToString", "NonStaticSelfCall", "DuplicateArrayKey", "UnreachableCode", "MissingClosureReturnType", "AbstractInstantiation",
+    "UnimplementedInterfaceMethod", "UnusedProperty", "InaccessibleClassConstant", "UnusedParam", "TooManyArguments", "UndefinedClass", "UndefinedFunction", "UndefinedMethod", "UndefinedConstant", "UnusedMethod", "UnusedVariable", "InvalidExtendClass", "TooFewArguments", "UnusedFunction")
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, 'p' || p_partkey || '.php' AS file, p_partkey - p_partkey % 10 AS parent FROM part),
@@ -669,7 +683,13 @@ _RULES = ("UndefinedClass", "UndefinedFunction", "UndefinedMethod", "UndefinedCo
     UNION ALL SELECT 'UnusedMethod', file, 3, 'Private method C' || k || '::idle() is never called' FROM c
     UNION ALL SELECT 'UnusedVariable', file, 3, 'Variable $y is never read' FROM c
     UNION ALL SELECT 'TooFewArguments', file, 3, 'Too few arguments for array_key_last(): expected 1, got 0' FROM c
-    UNION ALL SELECT 'InvalidExtendClass', file, 2, 'Class C' || k || ' cannot extend final class C' || parent FROM c WHERE k % 10 > 0 AND closed AND parent % 20 = 0""")
+    UNION ALL SELECT 'InvalidExtendClass', file, 2, 'Class C' || k || ' cannot extend final class C' || parent FROM c WHERE k % 10 > 0 AND closed AND parent % 20 = 0
+    UNION ALL SELECT unnest(['BackedEnumCaseTypeMismatch', 'InvalidTraitUse', 'InvalidToString', 'NonStaticSelfCall', 'DuplicateArrayKey', 'UnreachableCode', 'UnusedFunction', 'MissingClosureReturnType', 'AbstractInstantiation',
+        'UnimplementedInterfaceMethod', 'UnusedProperty', 'InaccessibleClassConstant', 'UnusedParam', 'TooManyArguments']), file, unnest([4, 5, 5, 6, 7, 7, 7, 8, 9, 10, 11, 12, 13, 14]), replace(unnest([
+        'Backed enum case E#::A has value of type "x", but backing type is int', 'Trait E# used incorrectly: E# is an enum, not a trait', 'Method U#::__toString() must return a string',
+        'Non-static method S#::m() cannot be called statically', 'Array key ''a'' is duplicated — the earlier entry is silently overwritten', 'Unreachable code detected', 'Function g#() is never called',
+        'Closure has no return type annotation', 'Cannot instantiate abstract class Q#', 'Class G# must implement F#::need() from interface', 'Private property V#::$b is never read', 'Cannot access constant W#::P',
+        'Parameter $p is never used', 'Too many arguments for d#(): expected 1, got 2']), '#', k::VARCHAR) FROM c""")
 def rules_over_program(spark: SparkSession, d: str) -> DataFrame:
     """Extraction, stubs and rules over a program with a class a part."""
     from factweave.operators.rules import analyse
