@@ -695,7 +695,8 @@ def rules_over_program(spark: SparkSession, d: str) -> DataFrame:
     from factweave.operators.rules import analyse
 
     stubs = spark.createDataFrame([("core.php", _STUBS)], "path string, text string")
-    return analyse(_program(spark, d), only=_RULES, stubs=stubs).select("kind", "file", "line", "message")
+    files = _program(spark, d).repartition(spark.sparkContext.defaultParallelism)  # one row group holds all parts
+    return analyse(files, only=_RULES, stubs=stubs).select("kind", "file", "line", "message")
 
 
 _PLACED = f"(SELECT *, (emit_ord % 9)::INT AS col_start, kind || ' <' || code || '>' AS message FROM {_ISSUES})"
