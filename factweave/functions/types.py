@@ -83,7 +83,8 @@ def atom_subtype(sub: Column, sup: Column) -> Column:
 
 
 def union(a: Column, b: Column) -> Column:
-    """Both sets' atoms; mixed absorbs all, and an atom goes that another one includes (of equals the first stays)."""
+    """Both sets' atoms; mixed absorbs all, an atom goes that another one includes (of equals the first stays), and true with false
+    is bool."""
     every = F.array_distinct(F.concat(a, b))
     top = F.filter(every, lambda x: x["tag"] == "mixed")
     placed = F.transform(every, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
@@ -92,7 +93,10 @@ def union(a: Column, b: Column) -> Column:
         over = lambda q: (q["i"] != p["i"]) & atom_subtype(p["x"], q["x"]) & (~atom_subtype(q["x"], p["x"]) | (q["i"] < p["i"])) & ~(is_in(p["x"], *INTS) & (q["x"]["tag"] == "float"))
         return ~F.exists(placed, over)
 
-    return F.when(F.size(top) > 0, F.slice(top, 1, 1)).otherwise(F.transform(F.filter(placed, needed), lambda p: p["x"]))
+    kept = F.transform(F.filter(placed, needed), lambda p: p["x"])
+    whole = F.exists(every, lambda x: x["tag"] == "true") & F.exists(every, lambda x: x["tag"] == "false") & ~F.exists(every, lambda x: x["tag"] == "bool")
+    merged = F.transform(F.filter(kept, lambda x: x["tag"] != "false"), lambda x: F.when(x["tag"] == "true", atom("bool")).otherwise(x))
+    return F.when(F.size(top) > 0, F.slice(top, 1, 1)).when(whole, merged).otherwise(kept)
 
 
 def intersect(a: Column, b: Column) -> Column:

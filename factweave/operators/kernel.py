@@ -10,8 +10,6 @@ after a leave), UnusedVariable (the last write that nothing reads) and ``env`` r
 
 from __future__ import annotations
 
-from __future__ import annotations
-
 from dataclasses import dataclass, field
 
 import pandas as pd

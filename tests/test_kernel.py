@@ -176,3 +176,28 @@ def test_deltas_of_null_keys_and_walks_of_many_children(spark):
     assert sorted(map(tuple, symbol_delta(a, b, "k").collect())) == [("x", "deleted"), ("y", "added")]
     edges = spark.createDataFrame([("r", "late", 12345), ("r", "soon", 9000)], "src string, dst string, ord int")
     assert [r.node for r in closure.linearised(edges, spark.createDataFrame([("r",)], "start string")).orderBy("rank").collect()] == ["r", "soon", "late"]
+
+
+def test_a_table_of_deltas_and_snapshots(spark, tmp_path):
+    from factweave.streaming.edits import VersionedTable
+
+    table, state, states = VersionedTable(spark, str(tmp_path / "t"), "path string, n long", every=3), {}, {}
+    for v in range(11):
+        changed = [(f"f{(v * k) % 7}", 100 * v + k) for k in range(3)]
+        state = states[v] = state | dict(changed)
+        table.write(spark.createDataFrame(sorted(dict(changed).items()), table.schema), v)
+        assert dict(map(tuple, table.read().collect())) == state
+    again = VersionedTable(spark, str(tmp_path / "t"), "path string, n long", every=3)
+    assert again.version == 10 and dict(map(tuple, again.read(6).collect())) == states[6] and dict(map(tuple, again.read().collect())) == state
+    assert again._versions("whole") == [5, 8] and again._versions("delta") == [6, 7, 8, 9, 10]
+    assert VersionedTable(spark, str(tmp_path / "new"), "path string, n long").read().count() == 0
+
+
+def test_union_of_true_and_false(spark):
+    from pyspark.sql import functions as F
+
+    from factweave.functions.types import atom, union
+
+    sets = {"both": union(F.array(atom("true"), atom("int")), F.array(atom("false"))), "one": union(F.array(atom("true")), F.array(atom("int"))), "bool": union(F.array(atom("false"), atom("true")), F.array(atom("bool")))}
+    row = spark.range(1).select(*[F.transform(c, lambda x: x["tag"]).alias(n) for n, c in sets.items()]).first()
+    assert sorted(row.both) == ["bool", "int"] and row.one == ["true", "int"] and row.bool == ["bool"]
