@@ -699,6 +699,61 @@ def rules_over_program(spark: SparkSession, d: str) -> DataFrame:
     return analyse(files, only=_RULES, stubs=stubs).select("kind", "file", "line", "message")
 
 
+@query("""SELECT fqcn, file, line, row_number() OVER (PARTITION BY file ORDER BY line, fqcn) - 1 AS place FROM
+    (SELECT p_brand AS fqcn, p_type AS file, min(coalesce(CASE WHEN p_size > 5 THEN p_size END, 0))::INT AS line FROM part GROUP BY ALL)""")
+def subtype_ordering(spark: SparkSession, d: str) -> DataFrame:
+    line = F.when(F.col("p_size") > 5, F.col("p_size")).cast("int")
+    return hierarchy.ordered_subtypes(read(spark, d, "part").select(F.col("p_brand").alias("fqcn"), F.col("p_type").alias("file"), line.alias("line")))
+
+
+@query("""SELECT c_custkey, n_regionkey = 1 AND (c_custkey % 3 > 0 OR c_custkey % 2 = 0) OR c_custkey % 11 = 0 AS subset FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def subset_with_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as classes, some nullable and some traits, against a region, nullable or not."""
+    from factweave.functions import types
+
+    k, named = F.col("c_custkey"), types.atom("named-object")
+    own = named.withField("ref_class", F.concat(F.lit("C"), k))
+    null = F.array(types.atom("null"))
+    rows = read(spark, d, "customer").select("c_custkey", F.when((k % 3 == 0) & (k % 11 != 0), F.concat(F.array(own), null)).otherwise(F.array(own)).alias("sub"), F.when(k % 2 == 0, F.concat(null, F.array(types.atom("named-object", ref_class="R1")))).otherwise(F.array(types.atom("named-object", ref_class="R1"))).alias("sup"))
+    traits = rows.filter(k % 11 == 0).select(F.concat(F.lit("c"), "c_custkey").alias("fqcn"))
+    return hierarchy.subset_in_hierarchy(rows, "c_custkey", "sub", "sup", hierarchy.ancestors(_tree(spark, d)), traits)
+
+
+@query("""SELECT 'c' || c_custkey AS class, ['n' || n_nationkey] AS parents, ['r' || n_regionkey] AS interfaces, CASE WHEN c_custkey % 4 = 0 THEN ['t' || c_custkey % 9] ELSE [] END AS traits FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT 's' || s_suppkey, ['n' || n_nationkey], ['r' || n_regionkey], [] FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'n' || n_nationkey, [], ['r' || n_regionkey], [] FROM nation""")
+def class_relations(spark: SparkSession, d: str) -> DataFrame:
+    tree = _tree(spark, d).withColumn("relation", F.when(F.startswith("parent", F.lit("r")), "interface").otherwise("parent"))
+    used = read(spark, d, "customer").filter("c_custkey % 4 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("child"), F.concat(F.lit("t"), F.col("c_custkey") % 9).alias("parent"), F.lit("trait").alias("relation"))
+    return hierarchy.class_relations(tree.unionByName(used))
+
+
+@query(f"SELECT count(DISTINCT token) AS names, count(DISTINCT doc) AS files, count(*)::BIGINT AS mentions FROM {_TOKENS}")
+def mention_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return index.mention_statistics(index.posting_list(read(spark, d, "documents"), "doc_id", keys.identifier_tokens("text")))
+
+
+@query("""SELECT l_partkey, l_suppkey, l_shipdate, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey, l_shipdate) - 1 AS place FROM (SELECT DISTINCT l_partkey, l_suppkey, l_shipdate FROM lineitem)""")
+def reference_ordering(spark: SparkSession, d: str) -> DataFrame:
+    return index.ordered_references(read(spark, d, "lineitem"), "l_partkey", "l_suppkey", "l_shipdate")
+
+
+@query("""SELECT flags, count(*) AS owners FROM (SELECT string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS flags FROM lineitem GROUP BY l_orderkey) GROUP BY flags""")
+def parameter_lists(spark: SparkSession, d: str) -> DataFrame:
+    lists = index.interned_lists(read(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")[1]
+    return lists.select(F.array_join(F.transform("params", lambda p: F.concat(p["l_returnflag"], p["l_linestatus"])), ",").alias("flags"), "owners")
+
+
+@query("SELECT l_partkey, max(l_orderkey) AS l_orderkey FROM lineitem GROUP BY l_partkey ORDER BY l_orderkey DESC, l_partkey LIMIT 256")
+def cache_retention(spark: SparkSession, d: str) -> DataFrame:
+    """What a cache of 256 entries holds after all uses."""
+    return index.most_recent(read(spark, d, "lineitem"), "l_partkey", "l_orderkey", 256)
+
+
+@query("""SELECT count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, count(*) FILTER (WHERE event_type NOT IN ('click', 'purchase') OR event_type IS NULL) AS others FROM events""")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    return index.run_counters(read(spark, d, "events"), "event_type", "click", "purchase")
+
+
 _PLACED = f"(SELECT *, (emit_ord % 9)::INT AS col_start, kind || ' <' || code || '>' AS message FROM {_ISSUES})"
 
 
